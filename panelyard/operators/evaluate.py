@@ -79,7 +79,8 @@ def lag_scan(panel, factor, lags=range(1, 21), method="spearman", min_obs=30, mi
     """Decay over a run of lags with t value and two-sided p; needs min_dates sections."""
     from ..functions.distributions import t_two_sided
     rets = {f"_lag_{p}": forward_return("close", p) for p in lags}
-    series = ic_matrix_series(panel.withColumns(rets), [factor], list(rets), method, min_obs, splits)
+    known = panel.where(F.col(factor).isNotNull() & F.col("close").isNotNull())
+    series = ic_matrix_series(known.withColumns(rets), [factor], list(rets), method, min_obs, splits)
     stats = ic_stats(series, ("horizon",)).where(F.col("n_dates") >= min_dates)
     stats = stats.withColumn("lag", F.substring_index("horizon", "_", -1).cast("int")).drop("horizon")
     return stats.withColumn("p_value", t_two_sided("t_stat", F.col("n_dates") - 1))
@@ -164,5 +165,38 @@ def tear_sheet(df, factor, ret, n=5, periods=252, splits=DEFAULT_SPLITS, min_obs
     turn = top_bucket_turnover(bucketed, n).agg(F.avg("turnover").alias("top_turnover"))
     one = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [
         ic, layers, sharpe.select("mean_ls", "sharpe"), turn])   # four one-row tables
-    return one.withColumn("verdict", F.when((F.col("ic_ir") >= 0.5) & (F.col("sharpe") >= 0.8), "pass")
-                          .otherwise("fail"))
+    return one.withColumn("verdict", F.when((F.col("ic_ir") >= 0.5) & (F.col("sharpe") >= 0.8), "ACCEPT")
+                          .otherwise("REVIEW"))
+
+
+def bootstrap_verdict(series, n_boot=1000, block=5, seed=42):
+    """Is the mean coefficient real? Circular block resampling of the series per factor.
+
+    series: factor, date, ic. A factor's series has one value per date, so it travels as
+    one array; replicates are rows, spread over the cluster. Block starts come from a
+    hash of (seed, replicate, position), so a lost task draws the same sample again.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("date", "ic"))), lambda s: s["ic"])
+    one = series.groupBy("factor").agg(
+        ordered.alias("_v"), F.count(F.lit(1)).alias("n_dates"), F.avg("ic").alias("ic_mean"), F.stddev_pop("ic").alias("_sd"),
+        F.avg(F.when(F.col("ic") > 0, 1.0).otherwise(0.0)).alias("positive_ratio"))
+    one = one.withColumn("ic_ir", F.coalesce(safe_div("ic_mean", "_sd"), F.lit(0.0)))
+    centred = F.transform("_v", lambda v: v - F.col("ic_mean"))
+    ring = F.concat(centred, F.slice(centred, 1, block - 1))
+    reps = (one.where((F.col("n_dates") >= 20) & (F.col("_sd") > 0))
+            .select("factor", "n_dates", ring.alias("_ring"), (F.abs("ic_mean") / F.col("_sd")).alias("_seen"),
+                    F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("_rep"))
+            .repartition("factor", "_rep"))
+    blocks = F.sequence(F.lit(1), F.ceil(F.col("n_dates") / block).cast("int"))
+    start = lambda k: F.pmod(F.xxhash64(F.lit(seed), "factor", "_rep", k), F.col("n_dates") - block + 1).cast("int") + 1
+    drawn = F.slice(F.flatten(F.transform(blocks, lambda k: F.slice("_ring", start(k), block))), 1, F.col("n_dates").cast("int"))
+    reps = reps.withColumn("_s", drawn)
+    total = lambda f: F.aggregate("_s", F.lit(0.0), lambda a, v: a + f(v))
+    reps = reps.withColumn("_m", total(lambda v: v) / F.col("n_dates"))
+    reps = reps.withColumn("_d", F.sqrt(total(lambda v: (v - F.col("_m")) * (v - F.col("_m"))) / F.col("n_dates")))
+    hit = F.abs(safe_div("_m", "_d")) >= F.col("_seen")
+    p = reps.groupBy("factor").agg((F.count(F.when(hit, 1)) / F.lit(float(n_boot))).alias("bootstrap_p"))
+    out = one.drop("_v", "_sd").join(p, "factor", "left").withColumn("bootstrap_p", F.coalesce("bootstrap_p", F.lit(1.0)))
+    strong, fair = F.abs("ic_ir") > 0.5, F.abs("ic_ir") > 0.3
+    return out.withColumn("verdict", F.when((F.col("bootstrap_p") < 0.05) & strong, "ACCEPT")
+                          .when((F.col("bootstrap_p") < 0.10) | fair, "REVIEW").otherwise("REJECT"))

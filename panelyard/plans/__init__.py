@@ -4,7 +4,8 @@ from importlib import import_module
 
 from .registry import ORACLE, QUERIES
 
-MODULES = ("flagship", "panel_queries", "factor_queries", "indicator_queries", "chart_queries")
+MODULES = ("flagship", "panel_queries", "factor_queries", "indicator_queries", "chart_queries",
+           "fundamental_queries", "evaluation_queries")
 
 
 def _load():
