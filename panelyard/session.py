@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -49,3 +50,14 @@ def shared_folder(spark):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def materialize(df):
+    """Write a table that later steps read several times to the shared folder.
+
+    Lineage ends there, so a lost executor costs no recomputation, and Catalyst knows the
+    size of what it reads back. The files stay until the folder is cleaned.
+    """
+    path = f"{shared_folder(df.sparkSession)}/panelyard-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
