@@ -17,6 +17,7 @@ from .columns import col
 ROWS_PER_TASK = 2_000_000
 DEFAULT_SPLITS = 32
 SALTS = 64
+WHOLE = "_all"
 FIRST_DAY, LAST_DAY = "1900-01-01", "2100-12-31"
 
 
@@ -44,10 +45,20 @@ def _salt(df, apply):
 
 
 def _small(stats, by):
-    """Broadcast a per-date table, whose size the calendar bounds; others are left to AQE."""
+    """Broadcast a per-date table, whose size the calendar bounds, or a table of one
+    section; others are left to AQE."""
     if list(by) == ["date"]:
         return F.broadcast(stats.withColumn("date", in_calendar("date")))
-    return stats
+    return F.broadcast(stats) if list(by) == [WHOLE] else stats
+
+
+def _bounded(by):
+    return list(by) in (["date"], [WHOLE])
+
+
+def whole(df):
+    """The table as one section, for pooled ranks and quantiles."""
+    return df.withColumn(WHOLE, F.lit(1))
 
 
 def with_stats(df, aggs, by=("date",), splits=DEFAULT_SPLITS):
@@ -112,7 +123,7 @@ def with_avg_rank(df, names, by=("date",), splits=DEFAULT_SPLITS, pct=True, suff
         r = f"_r_{x}"
         offsets = counts.where(F.col("_name") == x).select(
             *by, F.col("_r").alias(r), F.col("_below"), F.col("_n"), F.col("_c"))
-        rows = rows.join(F.broadcast(offsets) if by == ["date"] else offsets, by + [r], "left")
+        rows = rows.join(F.broadcast(offsets) if _bounded(by) else offsets, by + [r], "left")
         single = F.col(r) % 2 == 1
         rows = rows.withColumn("_salt", _salt(rows, single | F.col(r).isNull()))
         part = by + [r, "_salt"]
@@ -141,7 +152,7 @@ def quantiles(df, x, points, by=("date",), splits=DEFAULT_SPLITS, name="q"):
         F.col("_pos"), lambda k: (k >= F.col("_below")) & (k < F.col("_below") + F.col("_c"))))
     held = counts.where(F.size("_pos") > 0).select(*by, F.col("_r").alias("_r__x"), "_below", "_n", "_pos")
     # distinct values with counts, so that repeated values never pile up in one task
-    values = (rows.join(F.broadcast(held) if by == ["date"] else held, by + ["_r__x"])
+    values = (rows.join(F.broadcast(held) if _bounded(by) else held, by + ["_r__x"])
               .groupBy(*by, "_r__x", "_x").agg(F.count("*").alias("_c"), F.first("_below").alias("_below"),
                                                F.first("_n").alias("_n"), F.first("_pos").alias("_pos")))
     upto = F.sum("_c").over(Window.partitionBy(*by, "_r__x").orderBy("_x")
@@ -175,7 +186,7 @@ def with_rank(df, x, by=("date",), splits=DEFAULT_SPLITS, name="rank"):
     rows, counts = _cut(df, [x], by, splits)
     r = f"_r_{x}"
     offsets = counts.select(*by, F.col("_r").alias(r), "_below")
-    rows = rows.join(F.broadcast(offsets) if by == ["date"] else offsets, by + [r], "left")
+    rows = rows.join(F.broadcast(offsets) if _bounded(by) else offsets, by + [r], "left")
     single = F.col(r) % 2 == 1
     rows = rows.withColumn("_salt", _salt(rows, single | F.col(r).isNull()))
     inner = F.rank().over(Window.partitionBy(*by, r, "_salt").orderBy(x))

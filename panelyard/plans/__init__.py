@@ -5,7 +5,7 @@ from importlib import import_module
 from .registry import ORACLE, QUERIES
 
 MODULES = ("flagship", "panel_queries", "factor_queries", "indicator_queries", "chart_queries",
-           "fundamental_queries", "evaluation_queries", "portfolio_queries", "ledger_queries")
+           "fundamental_queries", "evaluation_queries", "portfolio_queries", "ledger_queries", "streaming_queries", "score_queries")
 
 
 def _load():
