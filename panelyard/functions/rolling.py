@@ -163,6 +163,52 @@ def sample_kurt(x):
     return unbiased_kurt(F.count(col(x)), F.kurtosis(col(x)))
 
 
+class Windows:
+    """Rolling aggregates of named columns, each computed once.
+
+    Spark evaluates every mention of a window expression anew. The methods note what is
+    needed and return expressions over its columns; ``apply`` computes the noted windows in
+    one projection, then the outputs, then drops the windows.
+    """
+
+    def __init__(self):
+        self.base = {}
+
+    def _note(self, kind, agg, x, n):
+        name = f"_w_{kind}_{x}_{n}"
+        self.base[name] = agg(F.col(x)).over(last_rows(n))
+        return F.col(name)
+
+    def _known(self, kind, agg, x, n, min_obs):
+        return F.when(self._note("n", F.count, x, n) >= F.lit(n if min_obs is None else min_obs), self._note(kind, agg, x, n))
+
+    def mean(self, x, n, min_obs=None):
+        return self._known("avg", F.avg, x, n, min_obs)
+
+    def std(self, x, n, min_obs=None):
+        return self._known("sd", F.stddev_samp, x, n, max(2, n if min_obs is None else min_obs))
+
+    def total(self, x, n, min_obs=None):
+        return self._known("sum", F.sum, x, n, min_obs)
+
+    def high(self, x, n, min_obs=None):
+        return self._known("max", F.max, x, n, min_obs)
+
+    def low(self, x, n, min_obs=None):
+        return self._known("min", F.min, x, n, min_obs)
+
+    def skew(self, x, n, min_obs=None):
+        return unbiased_skew(self._note("n", F.count, x, n), self._note("skew", F.skewness, x, n), n if min_obs is None else min_obs)
+
+    def kurt(self, x, n, min_obs=None):
+        return unbiased_kurt(self._note("n", F.count, x, n), self._note("kurt", F.kurtosis, x, n), n if min_obs is None else min_obs)
+
+    def apply(self, df, outputs):
+        if not self.base:
+            return df.withColumns(outputs)
+        return df.withColumns(self.base).withColumns(outputs).drop(*self.base)
+
+
 def fill_forward(x, key="code", order="date"):
     return F.last(col(x), ignorenulls=True).over(running(key, order))
 
