@@ -70,7 +70,7 @@ def out_of_fold(table, folds, columns, model="forest", kind="classification", ta
     for k in range(n_splits):
         train, valid = (rows.where((F.col("fold") == k) & (F.col("role") == r)) for r in ("train", "validate"))
         fitted = build(model, kind, columns, target, **params).fit(train)
-        parts.append(fitted.transform(valid).select("code", "date", "fold", target, "forward_return", "prediction"))
+        parts.append(fitted.transform(valid).select("code", "date", "fold", *dict.fromkeys((target, "forward_return")), "prediction"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

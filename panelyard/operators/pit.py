@@ -108,7 +108,8 @@ def quality_gate(tables, asof, warnings=None, core=CORE_TABLES, degraded=DEGRADE
     facts = table_facts(tables, dates)
     names = F.array(*[F.lit(c) for c in core])
     present = F.collect_set(F.when(F.col("rows") > 0, F.col("table")))
-    age = F.greatest(F.datediff(F.lit(asof).cast("date"), F.max(F.when(F.col("table") == "daily", F.col("latest")))), F.lit(0))
+    age = F.datediff(F.lit(asof).cast("date"), F.max(F.when(F.col("table") == "daily", F.col("latest"))))
+    age = F.when(age < 0, 0).otherwise(age)
     one = facts.agg(F.array_sort(F.array_except(names, present)).alias("missing_core"),
                     F.array_sort(F.collect_set(F.when((F.col("rows") == 0) & ~F.col("table").isin(*core), F.col("table")))).alias("missing_optional"),
                     F.coalesce(age, F.lit(NO_DATA_AGE)).alias("freshness_days"))
