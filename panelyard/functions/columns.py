@@ -57,6 +57,22 @@ def change_pct(close, pre_close):
     return safe_div(col(close) - col(pre_close), pre_close) * 100
 
 
+def packed_order(*parts):
+    """One DECIMAL(38,0) that sorts like the given columns, each with its number of digits.
+
+    A fixed-width order lets min_by and max_by aggregate by hashing; a struct order makes
+    Spark sort. All but the first part must be non-negative integers. A value with more
+    digits than declared is an error.
+    """
+    if sum(d for _, d in parts) > 38:
+        raise ValueError("more than 38 digits")
+    out = None
+    for x, digits in parts:
+        part = col(x).cast(f"decimal({digits},0)")
+        out = part if out is None else (out * F.lit(10 ** digits).cast(f"decimal({digits + 1},0)") + part).cast("decimal(38,0)")
+    return out.cast("decimal(38,0)")
+
+
 def labels(*pairs):
     """Array of the labels whose condition holds, in order."""
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in pairs]))

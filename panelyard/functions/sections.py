@@ -6,12 +6,17 @@ by value into ranges sized from approximate quantiles, counted by partial aggreg
 and ranked inside their range; offsets make the result the same as the single window.
 Values that occur often become ranges of their own whose rank needs no sort, and are
 salted. ``splits_for`` chooses the form from a measured bound.
+
+The per-section results of the second form (statistics, edges, counts) are small tables.
+They are written to the shared folder when the plan is built, so that steps applied one
+after another do not recompute each other, and Catalyst joins them by their true size.
 """
 
 from math import ceil
 
 from pyspark.sql import functions as F, Window
 
+from ..session import materialize
 from .columns import col
 
 ROWS_PER_TASK = 2_000_000
@@ -67,15 +72,15 @@ def with_stats(df, aggs, by=("date",), splits=DEFAULT_SPLITS):
     if splits == 1:
         w = Window.partitionBy(*by)
         return df.withColumns({k: a.over(w) for k, a in aggs.items()})
-    stats = df.groupBy(*by).agg(*[a.alias(k) for k, a in aggs.items()])
+    stats = materialize(df.groupBy(*by).agg(*[a.alias(k) for k, a in aggs.items()]))
     return df.join(_small(stats, by), by, "left")
 
 
 def _edges(df, names, by, splits):
     points = [i / splits for i in range(1, splits)]
-    return df.groupBy(*by).agg(*[
+    return materialize(df.groupBy(*by).agg(*[
         F.array_distinct(F.percentile_approx(col(x), points, 20 * splits)).alias(f"_edge_{x}")
-        for x in names])
+        for x in names]))
 
 
 def _range_id(x):
@@ -99,7 +104,7 @@ def _cut(df, names, by, splits):
     counts = counts.withColumns({
         "_below": F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"),
         "_n": F.sum("_c").over(whole)})
-    return rows.drop(*[f"_edge_{x}" for x in names]), counts
+    return rows.drop(*[f"_edge_{x}" for x in names]), materialize(counts)
 
 
 def with_avg_rank(df, names, by=("date",), splits=DEFAULT_SPLITS, pct=True, suffix="_rank"):
@@ -165,9 +170,21 @@ def quantiles(df, x, points, by=("date",), splits=DEFAULT_SPLITS, name="q"):
         F.map_from_entries(F.collect_list(F.struct("_k", "_x"))).alias("_at"))
     spot = lambda p: p * (F.col("_n") - 1)
     at = lambda k: F.element_at("_at", k)
-    return stats.select(*by, F.transform(wanted, lambda p: at(F.floor(spot(p))) + (
+    return materialize(stats.select(*by, F.transform(wanted, lambda p: at(F.floor(spot(p))) + (
         at(F.least(F.floor(spot(p)) + 1, F.col("_n") - 1)) - at(F.floor(spot(p))))
-        * (spot(p) - F.floor(spot(p)))).alias(name))
+        * (spot(p) - F.floor(spot(p)))).alias(name)))
+
+
+def with_medians(df, names, by=("date",), splits=DEFAULT_SPLITS, suffix="_median"):
+    """Attach the exact median of every named column."""
+    by = list(by)
+    if splits == 1:
+        w = Window.partitionBy(*by)
+        return df.withColumns({x + suffix: F.percentile(col(x), 0.5).over(w) for x in names})
+    for x in names:   # each result is a small stored table, so the passes do not nest
+        q = quantiles(df.select(*by, x), x, [0.5], by, splits, "_q")
+        df = df.join(_small(q.select(*by, F.col("_q")[0].alias(x + suffix)), by), by, "left")
+    return df
 
 
 def with_quantiles(df, x, points, by=("date",), splits=DEFAULT_SPLITS, name="q"):

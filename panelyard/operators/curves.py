@@ -117,7 +117,8 @@ def aligned_returns(curves, benchmark, key=KEY):
     """
     mine = curve_rows(curves, key).where("ret is not null").select(key, "date", "ret")
     one = curve_rows(benchmark.withColumn(key, F.lit("benchmark")), key).where("ret is not null")
-    return mine.join(F.broadcast(one.select("date", F.col("ret").alias("bench"))), "date")
+    from ..functions.sections import in_calendar
+    return mine.join(F.broadcast(one.select(in_calendar("date").alias("date"), F.col("ret").alias("bench"))), "date")
 
 
 def benchmark_metrics(curves, benchmark, risk_free=RISK_FREE, days=DAYS, key=KEY):
@@ -229,14 +230,15 @@ def turnover_stats(weights, key=KEY, days=DAYS):
     return per.groupBy(key).agg(F.avg("turnover").alias("avg_daily_turnover"), (F.avg("turnover") * days).alias("annual_turnover"))
 
 
-def trade_stats(trades, key=KEY):
+def trade_stats(trades, key=KEY, blocks=("date",)):
     """Counts, win rate, profit factor, and days from a buy to the sell that closes it.
 
     trades: key, code, date, seq, action, pnl. Consecutive buys keep the newest date; only
-    the first sell after a buy counts. Rows of one key and code are ordered by (date, seq).
+    the first sell after a buy counts. Rows of one key and code are ordered by (date, seq);
+    ``blocks`` cuts that order for functions.prefix, e.g. by date and a block of seq.
     """
     from ..functions.prefix import previous
-    t = previous(trades, [key, "code"], ["date"], ["seq"], {"_before": "action", "_d0": "date"})
+    t = previous(trades, [key, "code"], blocks, ["seq"], {"_before": "action", "_d0": "date"})
     held = F.when((F.col("action") == "sell") & (F.col("_before") == "buy"), F.datediff("date", "_d0"))
     out = t.groupBy(key).agg(
         F.count(F.lit(1)).alias("total_trades"), F.count(F.when(F.col("action") == "buy", 1)).alias("buy_count"),

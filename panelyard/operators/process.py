@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip, safe_div
 from ..functions.rolling import correlation, fill_forward
-from ..functions.sections import DEFAULT_SPLITS, with_avg_rank, with_quantiles, with_stats
+from ..functions.sections import DEFAULT_SPLITS, with_avg_rank, with_medians, with_quantiles, with_stats
 
 
 def winsorize_mad(df, columns, k=3.0, splits=DEFAULT_SPLITS):
     """Clip to median ± k MAD per date; unchanged where MAD is zero."""
+    df = with_medians(df, columns, splits=splits, suffix="__med")
+    df = df.withColumns({f"{x}__dev": F.abs(F.col(x) - F.col(f"{x}__med")) for x in columns})
+    df = with_medians(df, [f"{x}__dev" for x in columns], splits=splits, suffix="__mad")
+    made = {}
     for x in columns:
-        df = with_quantiles(df, x, [0.5], splits=splits, name="_q").withColumn("_med", F.col("_q")[0]).drop("_q")
-        df = df.withColumn("_dev", F.abs(F.col(x) - F.col("_med")))
-        df = with_quantiles(df, "_dev", [0.5], splits=splits, name="_q").withColumn("_mad", F.col("_q")[0])
-        inside = clip(x, F.col("_med") - k * F.col("_mad"), F.col("_med") + k * F.col("_mad"))
-        df = df.withColumn(x, F.when(F.col("_mad") > 0, inside).otherwise(F.col(x))).drop("_q", "_med", "_dev", "_mad")
-    return df
+        med, mad = F.col(f"{x}__med"), F.col(f"{x}__dev__mad")
+        made[x] = F.when(mad > 0, clip(x, med - k * mad, med + k * mad)).otherwise(F.col(x))
+    return df.withColumns(made).drop(*[f"{x}__{s}" for x in columns for s in ("med", "dev", "dev__mad")])
 
 
 def winsorize_quantile(df, columns, low=0.01, high=0.99, splits=DEFAULT_SPLITS):

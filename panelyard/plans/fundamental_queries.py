@@ -9,7 +9,7 @@ from pyspark.sql import functions as F, Window
 from ..operators import cleaning as C, fundamentals as FU, pit as PT
 from .factor_queries import over, roll
 from .registry import query
-from .tables import INDUSTRY, LINE_ORDER, WEEKLY, code_of, industries, report, table, weekly_bars, weekly_splits
+from .tables import INDUSTRY, WEEKLY, code_of, industries, line_order, report, table, weekly_bars, weekly_splits
 
 FIELDS = ["roe", "roa", "gross_margin", "net_margin", "revenue_growth", "profit_growth", "debt_ratio", "current_ratio",
           "quick_ratio", "ocf", "pe_ttm", "pb", "ps_ttm", "dv_ratio"]
@@ -19,14 +19,13 @@ def reports(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     day = F.col("l_shipdate").cast("date")
     end = F.last_day(F.add_months(F.date_trunc("quarter", day).cast("date"), 2))
-    seq = F.struct(*LINE_ORDER)
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    q = li.groupBy(code_of("l_suppkey").alias("code"), end.alias("report_date")).agg(
+    q = li.groupBy(F.col("l_suppkey").alias("code"), end.alias("report_date")).agg(
         F.sum("l_extendedprice").alias("rev"), F.sum("l_quantity").alias("qty"),
         F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("disc"),
         F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("tax"), F.count(F.lit(1)).alias("n"),
-        F.max_by(price, seq).alias("p"))
-    q = q.withColumn("net", F.col("tax") - 0.6 * F.col("disc"))
+        F.max_by(price, line_order()).alias("p"))
+    q = q.withColumn("code", code_of("code")).withColumn("net", F.col("tax") - 0.6 * F.col("disc"))
     w = Window.partitionBy("code").orderBy("report_date")
     c = F.col
     zero = lambda x: F.nullif(x, F.lit(0.0))

@@ -212,7 +212,7 @@ def nation_returns(spark, sf_dir):
     li, su, na = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation"))
     week = F.date_trunc("week", "l_shipdate").cast("date")
     per = li.groupBy("l_suppkey", week.alias("date")).agg(F.sum("l_extendedprice").alias("a"), F.sum("l_quantity").alias("q"))
-    geo = su.join(F.broadcast(na), su.s_nationkey == na.n_nationkey).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("code"))
+    geo = su.join(C.checked_broadcast(na), su.s_nationkey == na.n_nationkey).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("code"))
     nb = per.join(geo, "l_suppkey").groupBy("code", "date").agg((F.sum("a") / F.sum("q")).alias("close"), F.sum("a").alias("amount"))
     return nb.select("code", "date", "amount", R.pct_change("close").alias("ret"))
 
@@ -279,7 +279,7 @@ _TW = f"""wts AS (SELECT r_name AS strategy_id, n_name AS code, date_trunc('week
 def region_weights(spark, sf_dir):
     """Weekly share of each nation in its region's returned amount; nations drop in and out."""
     li, su, na, re_ = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "region"))
-    geo = su.join(F.broadcast(na.join(re_, na.n_regionkey == re_.r_regionkey)), F.col("s_nationkey") == F.col("n_nationkey"))
+    geo = su.join(C.checked_broadcast(na.join(re_, na.n_regionkey == re_.r_regionkey)), F.col("s_nationkey") == F.col("n_nationkey"))
     per = (li.where("l_returnflag = 'A'").groupBy("l_suppkey", F.date_trunc("week", "l_shipdate").cast("date").alias("date")).agg(F.sum("l_extendedprice").alias("a"))
            .join(geo.select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias(KEY), F.col("n_name").alias("code")), "l_suppkey")
            .groupBy(KEY, "code", "date").agg(F.sum("a").alias("a")))
@@ -308,7 +308,8 @@ def trade_stats(spark, sf_dir):
         F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity").alias("seq"),
         F.when(F.col("l_linestatus") == "O", "buy").otherwise("sell").alias("action"),
         F.when(F.col("l_linestatus") == "F", F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax"))).alias("pnl"))
-    return report(CU.trade_stats(t), [KEY, "total_trades", "buy_count", "sell_count"], ["win_rate", "profit_factor", "avg_holding_days"])
+    t = t.withColumn("_blk", F.floor(F.col("seq.l_orderkey") / 65536))
+    return report(CU.trade_stats(t, blocks=("date", "_blk")), [KEY, "total_trades", "buy_count", "sell_count"], ["win_rate", "profit_factor", "avg_holding_days"])
 
 
 BRIN = f"""bw AS (SELECT s.r_name AS industry, date, sum(amount) AS a, sum(CASE WHEN code < 'NATION_2' THEN amount ELSE 0 END) AS pa, avg(ret) AS rb, avg(ret) FILTER (code < 'NATION_2') AS rp
@@ -321,7 +322,7 @@ def brinson_rows(spark, sf_dir):
     na, re_ = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     geo = na.join(re_, na.n_regionkey == re_.r_regionkey).select(F.col("n_name").alias("code"), F.col("r_name").alias("industry"))
     mine = F.col("code") < "NATION_2"
-    r = nation_returns(spark, sf_dir).where("ret is not null").join(F.broadcast(geo), "code")
+    r = nation_returns(spark, sf_dir).where("ret is not null").join(C.checked_broadcast(geo), "code")
     per = r.groupBy("date", "industry").agg(F.sum("amount").alias("a"), F.sum(F.when(mine, F.col("amount")).otherwise(0.0)).alias("pa"),
                                             F.avg("ret").alias("rb"), F.avg(F.when(mine, F.col("ret"))).alias("rp"))
     total = per.groupBy("date").agg(F.sum("a").alias("ta"), F.sum("pa").alias("tp"))

@@ -7,13 +7,25 @@ Prices, shares and dates come from the tables; nothing is generated.
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import log_pos, rounded
+from ..functions.columns import packed_order, rounded
 from ..functions.sections import splits_for
+from ..operators.cleaning import checked_broadcast
 from ..sources.panel import to_bars
 
+# every row of lineitem in one order
 LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
 
 
+def line_order():
+    """LINE_ORDER as one number: seconds, order, line, cents, quantity."""
+    return packed_order((F.unix_seconds(F.col("l_shipdate").cast("timestamp")), 11), ("l_orderkey", 14), ("l_linenumber", 2),
+                        (F.round(F.col("l_extendedprice") * 100), 9), ("l_quantity", 2))
+
+
+def event_order():
+    return packed_order((F.unix_micros(F.col("ts").cast("timestamp")), 17), ("event_id", 18))
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,16 +36,18 @@ def code_of(x):
 
 def weekly_bars(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    bars = to_bars(li, code_of("l_suppkey"), F.date_trunc("week", "l_shipdate"),
+    # grouped by the number, which sorts and hashes faster than the text made of it
+    bars = to_bars(li, F.col("l_suppkey"), F.date_trunc("week", "l_shipdate"),
                    F.col("l_extendedprice") / F.col("l_quantity"),
-                   F.col("l_quantity"), F.col("l_extendedprice"), LINE_ORDER)
-    return bars.withColumn("turnover_rate", F.col("volume") / 50.0)
+                   F.col("l_quantity"), F.col("l_extendedprice"), line_order())
+    return bars.withColumns({"code": code_of("code"), "turnover_rate": F.col("volume") / 50.0})
 
 
 def daily_bars(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    return to_bars(ev, code_of("user_id"), F.to_date("ts"), F.col("value"),
-                   F.lit(1.0), F.col("value"), ("ts", "event_id"))
+    bars = to_bars(ev, F.col("user_id"), F.to_date("ts"), F.col("value"),
+                   F.lit(1.0), F.col("value"), event_order())
+    return bars.withColumn("code", code_of("code"))
 
 
 def weekly_splits(spark, sf_dir):
@@ -45,12 +59,12 @@ def daily_splits(spark, sf_dir):
 
 
 def industries(spark, sf_dir):
-    """code, industry: the supplier's region. Nation and region are fixed-size tables."""
+    """code, industry: the supplier's region."""
     na, re_ = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     su = table(spark, sf_dir, "supplier")
     geo = na.join(re_, na.n_regionkey == re_.r_regionkey).select(
         F.col("n_nationkey").alias("s_nationkey"), F.col("r_name").alias("industry"))
-    return su.join(F.broadcast(geo), "s_nationkey").select(code_of("s_suppkey").alias("code"), "industry")
+    return su.join(checked_broadcast(geo), "s_nationkey").select(code_of("s_suppkey").alias("code"), "industry")
 
 
 WEEKLY = """bars AS (

@@ -90,9 +90,10 @@ def to_bars(ticks, code, date, price, volume, amount, order):
     """Raw rows to bars: first, highest, lowest and last price, summed volume and amount.
 
     One partial aggregation, so a code holding most rows is reduced before the shuffle.
-    ``order`` lists columns that order the rows of a bar totally.
+    ``order`` is a Column (best of fixed width, see columns.packed_order) or a list of
+    columns that orders the rows of a bar totally.
     """
-    seq = F.struct(*[F.col(c) for c in order])
+    seq = F.struct(*[F.col(c) for c in order]) if isinstance(order, (list, tuple)) else order
     return (ticks.select(code.alias("code"), date.cast("date").alias("date"), finite(price).alias("_p"),
                          volume.alias("_v"), amount.alias("_a"), seq.alias("_s"))
             .groupBy("code", "date").agg(
