@@ -8,7 +8,7 @@ a whole set costs one shuffle however many factors it has.
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
-from ..functions.columns import col, log_pos, safe_div
+from ..functions.columns import log_pos, safe_div
 
 
 def apply_stages(df, stages):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import rolling as R
 from ..functions.columns import log_pos
 from ..operators import evaluate as E, process as P
-from .factor_queries import lag, out as outs, over, pct, rank_sql, roll, stage
+from .factor_queries import out as outs, over, pct, rank_sql, roll, stage
 from .registry import query
 from .tables import INDUSTRY, WEEKLY, industries, report, weekly_bars, weekly_splits
 

@@ -1,7 +1,5 @@
 """Flagship query: does reversal predict returns?"""
 
-from pyspark.sql import functions as F
-
 from ..functions import rolling as R
 from ..operators import evaluate as E
 from .registry import query

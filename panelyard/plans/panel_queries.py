@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import change_pct, month_end, normalize_code, parse_date, week_end
+from ..functions.columns import change_pct, month_end, normalize_code, week_end
 from ..functions.rolling import lag
 from ..functions.sections import in_calendar
 from ..operators import cleaning as C

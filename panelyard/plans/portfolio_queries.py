@@ -10,9 +10,8 @@ from ..functions.columns import change_pct
 from ..operators import cleaning as C, curves as CU, pit as PT, portfolio as PF, process as PR, risk as RK
 from .evaluation_queries import D, factor_panel, FP
 from .factor_queries import lag, out as outs, over, rank_sql, roll, stage
-from .panel_queries import MASTER_SQL
 from .registry import query
-from .tables import INDUSTRY, WEEKLY, code_of, industries, report, table, weekly_bars, weekly_splits
+from .tables import INDUSTRY, WEEKLY, industries, report, table, weekly_bars, weekly_splits
 
 KEY = "strategy_id"
 

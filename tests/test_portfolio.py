@@ -5,7 +5,6 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from panelyard.operators import curves as CU, portfolio as PF, risk as RK
 

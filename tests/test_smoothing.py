@@ -1,7 +1,6 @@
 """Recursive indicators against pandas and against plain loops."""
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from panelyard.operators import indicators as I, smoothing as S

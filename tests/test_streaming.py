@@ -3,7 +3,6 @@
 import datetime as dt
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from test_ledger import SCHEMA, random_ledger
 
 
 def files(spark, parts, schema, folder):
-    import os, time
+    import time
     for i, part in enumerate(parts):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
         time.sleep(0.05)
