@@ -2,7 +2,7 @@
 
 import pyspark.sql.functions as F
 
-from . import mixing, sharding, tokens, toxicity
+from . import mixing, sharding, simhash, tokens, toxicity
 from .common import read
 
 QUERIES, ORACLE = {}, {}
@@ -45,3 +45,8 @@ def op9_tokens(spark, sf_dir):
     import public_tokenizers
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op6_simhash")
+def op6_simhash(spark, sf_dir):
+    return simhash.fingerprint_components(read(spark, sf_dir, "documents"))
