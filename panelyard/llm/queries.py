@@ -2,7 +2,7 @@
 
 import pyspark.sql.functions as F
 
-from . import mixing, sharding, simhash, tokens, toxicity
+from . import decontaminate, mixing, secrets, sharding, simhash, tokens, toxicity
 from .common import read
 
 QUERIES, ORACLE = {}, {}
@@ -50,3 +50,16 @@ def op9_tokens(spark, sf_dir):
 @query("op6_simhash")
 def op6_simhash(spark, sf_dir):
     return simhash.fingerprint_components(read(spark, sf_dir, "documents"))
+
+
+@query("op7_decontaminate")
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op8_secrets", secrets.SQL)
+def op8_secrets(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secrets.new_ledger(spark)
+    secrets.update(spark, docs, ledger)
+    return secrets.report(docs, secrets.findings(spark, ledger)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
