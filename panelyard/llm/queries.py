@@ -2,7 +2,7 @@
 
 import pyspark.sql.functions as F
 
-from . import decontaminate, mixing, secrets, sharding, simhash, tokens, toxicity
+from . import decontaminate, mixing, quality, secrets, sharding, simhash, tokens, toxicity
 from .common import read
 
 QUERIES, ORACLE = {}, {}
@@ -63,3 +63,9 @@ def op8_secrets(spark, sf_dir):
     ledger = secrets.new_ledger(spark)
     secrets.update(spark, docs, ledger)
     return secrets.report(docs, secrets.findings(spark, ledger)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@query("op5_quality")
+def op5_quality(spark, sf_dir):
+    table, _ = quality.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return table.select("doc_id", "n_grams", "ratio", "log_weight", "sort_key", "selected")
