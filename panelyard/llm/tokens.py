@@ -18,8 +18,9 @@ from ..session import materialize
 from .common import without
 
 HOT = 1 << 17           # most frequent pre-tokens, held by every task
-MEMO = 300_000          # chunks a task remembers before it starts over
-FLUSH = 400_000         # distinct pre-tokens a task gathers before it hands them on
+MEMO = 60_000           # chunks a task remembers before it starts over
+FLUSH = 100_000         # distinct pre-tokens a task gathers before it hands them on
+ROWS = 400              # documents whose parts a task holds before it hands them on
 ADDED = ("n_bytes", "n_tokens", "over_limit", "row_key")
 # The pre-token pattern and special strings of the vocabulary file.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -126,28 +127,32 @@ def count_tokens(docs, path, limit=2048, hot=HOT):
                     rest.append(t)
                 else:
                     total += n
-            memo[chunk] = got = (total, rest)
+            memo[chunk] = got = (total, rest or ())
             return got
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64())],
+                                              ["row_key", "pre_token", "n"])
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1)
-            out_key, out_token, out_n = [], [], []
-            for key, scalar in zip(keys, texts):
-                text = scalar.as_py() or ""
+            rows = ([], [], [])
+            for i, (key, scalar) in enumerate(zip(b.column(0), b.column(1)), 1):
                 total, cold = 0, Counter()
-                for chunk, n in Counter(chunks_of(text)).items():
+                for chunk, n in Counter(chunks_of(scalar.as_py() or "")).items():
                     got = memo.get(chunk) or known(chunk)
                     total += got[0] * n
                     for t in got[1]:
                         cold[t] += n
-                out_key += [key] * (len(cold) + 1)
-                out_token.append(None)
-                out_n.append(total)
-                out_token += cold
-                out_n += cold.values()
+                rows[0].extend([key.as_py()] * (len(cold) + 1))
+                rows[1].append(None)
+                rows[1].extend(cold)
+                rows[2].append(total)
+                rows[2].extend(cold.values())
                 if len(memo) > MEMO:
                     memo.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.int64()), pa.array(out_token, pa.string()), pa.array(out_n, pa.int64())],
-                                             ["row_key", "pre_token", "n"])
+                if i % ROWS == 0:
+                    yield batch(rows)
+                    rows = ([], [], [])
+            yield batch(rows)
     # the row key follows the input's partitions, so the two passes below must see one stored copy of the parts
     keyed = docs.withColumn("row_key", F.monotonically_increasing_id())
     parts = materialize(keyed.select("row_key", "text").mapInArrow(split, "row_key long, pre_token string, n long"))
