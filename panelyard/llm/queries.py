@@ -2,7 +2,7 @@
 
 import pyspark.sql.functions as F
 
-from . import decontaminate, mixing, quality, secrets, sharding, simhash, tokens, toxicity
+from . import decontaminate, lines, mixing, quality, secrets, sharding, simhash, tokens, toxicity
 from .common import read
 
 QUERIES, ORACLE = {}, {}
@@ -69,3 +69,8 @@ def op8_secrets(spark, sf_dir):
 def op5_quality(spark, sf_dir):
     table, _ = quality.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return table.select("doc_id", "n_grams", "ratio", "log_weight", "sort_key", "selected")
+
+
+@query("op10_lines")
+def op10_lines(spark, sf_dir):
+    return lines.line_report(read(spark, sf_dir, "documents"))
