@@ -2,7 +2,7 @@
 
 import pyspark.sql.functions as F
 
-from . import decontaminate, lines, mixing, quality, secrets, sharding, simhash, tokens, toxicity
+from . import decontaminate, lines, media, mixing, quality, secrets, sharding, simhash, tokens, toxicity
 from .common import read
 
 QUERIES, ORACLE = {}, {}
@@ -74,3 +74,10 @@ def op5_quality(spark, sf_dir):
 @query("op10_lines")
 def op10_lines(spark, sf_dir):
     return lines.line_report(read(spark, sf_dir, "documents"))
+
+
+@query("op4_media")
+def op4_media(spark, sf_dir):
+    images = media.render(read(spark, sf_dir, "embeddings"))
+    found = media.copies(images)
+    return found.select("image_id", F.floor(F.col("image_id") / 2).alias("vec_id"), (F.col("image_id") % 2 == 1).alias("edited"), "n_corners", "n_links", "component_id")

@@ -19,7 +19,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Window
 
 from ..session import materialize
-from .common import without
+from .common import free_name, without
 from .components import components
 
 RADIUS = 4
@@ -199,7 +199,7 @@ def _similar(pairs, words, similarity):
 
 
 def near_duplicates(docs, words=5, similarity=0.8, tables=TABLES):
-    """(doc_id, node, keep): one row of each group of near-duplicate texts has keep = true.
+    """Row keys (monotonically_increasing_id of ``docs``) of one row of each group of near-duplicate texts.
 
     A node stands for the rows with one 128-bit fingerprint. Cells of ``PICKED`` segment
     popcounts, ``tables`` per node, bring near copies together; each node is compared with the
@@ -248,6 +248,7 @@ def near_duplicates(docs, words=5, similarity=0.8, tables=TABLES):
 
 def drop_near_duplicates(docs, words=5, similarity=0.8, tables=TABLES):
     """``docs`` with one row of each near-duplicate group."""
-    keyed = docs.withColumn("row_key", F.monotonically_increasing_id())
-    kept = materialize(near_duplicates(docs, words, similarity, tables))
-    return keyed.join(kept, "row_key", "left_semi").drop("row_key")
+    key, = free_name(docs, "row_key")
+    keyed = docs.withColumn(key, F.monotonically_increasing_id())
+    kept = materialize(near_duplicates(docs, words, similarity, tables)).withColumnRenamed("row_key", key)
+    return keyed.join(kept, key, "left_semi").drop(key)
