@@ -69,7 +69,7 @@ def packed_order(*parts):
     out = None
     for x, digits in parts:
         part = col(x).cast(f"decimal({digits},0)")
-        out = part if out is None else (out * F.lit(10 ** digits).cast(f"decimal({digits + 1},0)") + part).cast("decimal(38,0)")
+        out = part if out is None else (out * F.lit(str(10 ** digits)).cast(f"decimal({digits + 1},0)") + part).cast("decimal(38,0)")
     return out.cast("decimal(38,0)")
 
 

@@ -23,7 +23,6 @@ ROWS_PER_TASK = 2_000_000
 DEFAULT_SPLITS = 32
 SALTS = 64
 WHOLE = "_all"
-FIRST_DAY, LAST_DAY = "1900-01-01", "2100-12-31"
 
 
 def splits_for(raw, code, rows_per_task=ROWS_PER_TASK):
@@ -36,13 +35,6 @@ def splits_for(raw, code, rows_per_task=ROWS_PER_TASK):
     return max(1, ceil(codes * 1.2 / rows_per_task))
 
 
-def in_calendar(date):
-    """The date, or an error outside 1900-2100: a per-date table cannot exceed 73,414 rows."""
-    d = col(date)
-    return F.when(d.isNull() | d.between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")), d) \
-        .otherwise(F.raise_error(F.concat(F.lit("date outside 1900-2100: "), d.cast("string"))).cast("date"))
-
-
 def _salt(df, apply):
     """A repeatable spread for rows whose rank needs no sort."""
     plain = [c for c, t in df.dtypes if not t.startswith(("map", "array", "struct"))]
@@ -50,15 +42,13 @@ def _salt(df, apply):
 
 
 def _small(stats, by):
-    """Broadcast a per-date table, whose size the calendar bounds, or a table of one
-    section; others are left to AQE."""
-    if list(by) == ["date"]:
-        return F.broadcast(stats.withColumn("date", in_calendar("date")))
+    """Broadcast the table of one section. Others are joined by the size Spark measures:
+    stored tables are read back, so it knows their bytes, and AQE splits large sections."""
     return F.broadcast(stats) if list(by) == [WHOLE] else stats
 
 
 def _bounded(by):
-    return list(by) in (["date"], [WHOLE])
+    return list(by) == [WHOLE]
 
 
 def whole(df):

@@ -9,18 +9,10 @@ from ..functions.rolling import fill_forward
 MIN_LISTED_DAYS = 60
 PRICE_LIMIT = 9.9
 
-MASTER_ROWS_TO_BROADCAST = 5_000_000
-
-
-def checked_broadcast(dim, max_rows=MASTER_ROWS_TO_BROADCAST):
-    """Broadcast hint only when a count (from parquet metadata for a stored table) stays
-    under the bound; otherwise a plain join, which AQE splits when skewed."""
-    few = dim.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(dim) if few else dim
-
 
 def join_dimension(df, dim, key="code", how="left"):
-    return df.join(checked_broadcast(dim), key, how)
+    """Spark chooses the join from the measured bytes of the dimension; AQE splits skewed keys."""
+    return df.join(dim, key, how)
 
 
 def filter_new_listings(df, master, min_days=MIN_LISTED_DAYS):

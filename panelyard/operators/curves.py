@@ -113,12 +113,11 @@ METRICS = ["total_return", "annual_return", "annual_return_by_returns", "volatil
 def aligned_returns(curves, benchmark, key=KEY):
     """Returns of every curve beside the benchmark's on the same date.
 
-    The benchmark is one curve, bounded by the calendar, so it is broadcast.
+    A benchmark with several rows on a date counts once, with their mean.
     """
     mine = curve_rows(curves, key).where("ret is not null").select(key, "date", "ret")
     one = curve_rows(benchmark.withColumn(key, F.lit("benchmark")), key).where("ret is not null")
-    from ..functions.sections import in_calendar
-    return mine.join(F.broadcast(one.select(in_calendar("date").alias("date"), F.col("ret").alias("bench"))), "date")
+    return mine.join(one.groupBy("date").agg(F.avg("ret").alias("bench")), "date")
 
 
 def benchmark_metrics(curves, benchmark, risk_free=RISK_FREE, days=DAYS, key=KEY):
@@ -138,10 +137,9 @@ def benchmark_metrics(curves, benchmark, risk_free=RISK_FREE, days=DAYS, key=KEY
     c = F.col
     b = safe_div("_cov", "_var")
     capm = days * ((c("_mp") - risk_free / days) - b * (c("_mb") - risk_free / days))
-    flat = F.when(F.abs("benchmark_return") < 10, c("benchmark_return")).otherwise(0.0)
     return out.select(
         key, "n_common", _zero(b).alias("beta"), _zero(F.when(c("n_common") >= MIN_TAIL, capm)).alias("alpha_capm"),
-        _zero(F.when(c("n_common") > 2, c("annual_return") - b * flat)).alias("alpha_backtest"),
+        _zero(F.when(c("n_common") > 2, c("annual_return") - b * c("benchmark_return"))).alias("alpha_backtest"),
         _zero(c("_mp") * days - (risk_free + b * (c("_mb") * days - risk_free))).alias("alpha_extended"),
         _zero(safe_div((c("_mp") - c("_mb")) * days, c("_te") * F.sqrt(F.lit(float(days))))).alias("information_ratio"),
         _zero(safe_div("_pu", "_bu")).alias("up_capture"), _zero(safe_div("_pd", "_bd")).alias("down_capture"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, Window
 
 from ..functions.columns import safe_div
 from ..functions.rolling import correlation, forward_return
-from ..functions.sections import DEFAULT_SPLITS, in_calendar, quantiles, with_avg_rank, _small
+from ..functions.sections import DEFAULT_SPLITS, quantiles, with_avg_rank, _small
 
 MIN_SECTION = 10
 
@@ -141,13 +141,13 @@ def top_bucket_turnover(bucketed, top=5, bucket="bucket"):
     Members are never gathered: each row is tagged with the date its code last
     appeared in the top bucket, then counted per date.
     """
-    dates = bucketed.select(in_calendar("date").alias("date")).distinct()
-    # one row per date: the calendar bounds this window and the broadcast below
+    dates = bucketed.select("date").distinct()
+    # one row per date in this window
     ordered = dates.withColumn("_prev", F.lag("date").over(Window.partitionBy(F.lit(1)).orderBy("date")))
     members = bucketed.where(F.col(bucket) == top).select("code", "date")
     w = Window.partitionBy("code").orderBy("date")
     tagged = (members.withColumn("_last", F.lag("date").over(w))
-              .join(F.broadcast(ordered), "date"))
+              .join(ordered, "date"))
     counts = tagged.groupBy("date").agg(
         F.first("_prev").alias("_prev"), F.count("*").alias("_n"),
         F.count(F.when(F.col("_last") == F.col("_prev"), 1)).alias("_both"))

@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import functions as F, Window
 
 from ..functions.rolling import forward_return
-from ..functions.sections import DEFAULT_SPLITS, WHOLE, in_calendar, quantiles, whole, with_quantiles
+from ..functions.sections import DEFAULT_SPLITS, WHOLE, quantiles, whole, with_quantiles
 
 MODELS = {
     ("forest", "classification"): RandomForestClassifier, ("forest", "regression"): RandomForestRegressor,
@@ -33,19 +33,18 @@ def training_table(features, prices, columns, period=20, splits=DEFAULT_SPLITS):
 def fold_dates(dates, n_splits=5, purge_days=0):
     """Expanding train dates and the validation block after them, per fold.
 
-    dates: one column ``date``. One row per date fits the calendar, so numbering them in one
-    window is safe. Train dates within purge_days of the fold's end are left out.
+    dates: one column ``date``. There is one row per date, numbered in one window. Train dates within purge_days of the fold's end are left out.
     """
     order = Window.partitionBy(F.lit(1)).orderBy("date")
     every = Window.partitionBy(F.lit(1))
-    d = dates.select(in_calendar("date").alias("date")).distinct()
-    d = d.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(every), "_dates": F.collect_list("date").over(every)})
+    numbered = dates.select("date").distinct().withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(every)})
     size = F.floor(F.col("_n") / (n_splits + 1))
-    d = d.withColumns({"_size": size, "_dates": F.array_sort("_dates")}).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    d = numbered.withColumn("_size", size).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
     end = F.col("_n") - (n_splits - F.col("fold")) * F.col("_size")
     d = d.withColumn("_end", end).where(F.col("_end") + 1 < F.col("_n"))
-    cut = F.date_sub(F.element_at("_dates", (F.col("_end") + 1).cast("int")), purge_days)
-    train = (F.col("_i") < F.col("_end")) & (F.col("date") <= cut)
+    ends = numbered.select(F.col("_i").alias("_end"), F.date_sub("date", purge_days).alias("_cut"))
+    d = d.join(ends, "_end")
+    train = (F.col("_i") < F.col("_end")) & (F.col("date") <= F.col("_cut"))
     start = F.col("_end") + 1
     valid = (F.col("_i") >= start) & (F.col("_i") < F.least(start + F.col("_size"), F.col("_n")))
     d = d.withColumn("role", F.when(train, "train").when(valid, "validate")).where("role is not null")
@@ -53,8 +52,8 @@ def fold_dates(dates, n_splits=5, purge_days=0):
 
 
 def with_folds(table, folds):
-    """Rows with their fold and role; dates x folds is bounded by the calendar."""
-    return table.join(F.broadcast(folds), "date")
+    """Rows with their fold and role."""
+    return table.join(folds, "date")
 
 
 def build(model, kind, columns, target, **params):

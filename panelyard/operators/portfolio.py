@@ -140,9 +140,8 @@ def covariance(returns, n_codes, n_dates, cells=2_000_000):
     known = returns.where("ret is not null")
     complete = known.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
     total = known.agg(F.countDistinct("code").alias("_codes"))
-    from ..functions.sections import in_calendar
-    days = complete.crossJoin(F.broadcast(total)).where("_n = _codes").select(in_calendar("date").alias("date"))
-    known = known.join(F.broadcast(days), "date", "left_semi")
+    days = complete.crossJoin(F.broadcast(total)).where("_n = _codes").select("date")
+    known = known.join(days, "date", "left_semi")
     blocks = max(1, ceil(n_codes * n_dates / cells))
     b = F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")
     others = F.sequence(F.lit(0), F.lit(blocks - 1))

@@ -181,11 +181,10 @@ def top_signal(df, score="alpha_score", cut=0.8, splits=DEFAULT_SPLITS):
     return ranked.withColumn("signal", F.when(F.col(f"{score}__r") > cut, 1).otherwise(0)).drop(f"{score}__r")
 
 
-def latest_group_mean(df, value, group, first=None):
+def latest_group_mean(df, value, group):
     """Mean of a value per group on the newest date, groups in name order."""
     from .cleaning import latest_date
-    out = latest_date(df).groupBy(group).agg(F.avg(value).alias("mean_value")).orderBy(group)
-    return out.limit(first) if first else out
+    return latest_date(df).groupBy(group).agg(F.avg(value).alias("mean_value")).orderBy(group)
 
 
 def latest_exposure(df, columns):

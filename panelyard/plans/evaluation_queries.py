@@ -312,10 +312,10 @@ def bootstrap_verdict(spark, sf_dir):
     return report(E.bootstrap_verdict(s.select("factor", "date", "ic")), ["factor", "n_dates", "verdict"], ["ic_mean", "ic_ir", "positive_ratio", "bootstrap_p"])
 
 
-@query("alpha_by_industry", f"WITH {FP}, {INDUSTRY}, {EQUAL} SELECT industry, round(avg(alpha_score), 6) + 0.0 AS mean_value FROM al JOIN ind USING (code) WHERE date = (SELECT max(date) FROM al) GROUP BY industry ORDER BY industry LIMIT 10")
+@query("alpha_by_industry", f"WITH {FP}, {INDUSTRY}, {EQUAL} SELECT industry, round(avg(alpha_score), 6) + 0.0 AS mean_value FROM al JOIN ind USING (code) WHERE date = (SELECT max(date) FROM al) GROUP BY industry ORDER BY industry")
 def alpha_by_industry(spark, sf_dir):
     df = equal_alpha(spark, sf_dir).join(industries(spark, sf_dir), "code")
-    return report(P.latest_group_mean(df, "alpha_score", "industry", 10), ["industry"], ["mean_value"])
+    return report(P.latest_group_mean(df, "alpha_score", "industry"), ["industry"], ["mean_value"])
 
 
 @query("style_exposure", f"WITH {FP}, l AS (SELECT * FROM fp WHERE date = (SELECT max(date) FROM fp)) " + " UNION ALL ".join(

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import change_pct, month_end, normalize_code, week_end
 from ..functions.rolling import lag
-from ..functions.sections import in_calendar
 from ..operators import cleaning as C
 from ..sources import panel as P
 from .registry import query
@@ -65,10 +64,10 @@ WINDOW w AS (PARTITION BY grid.code ORDER BY grid.date ROWS BETWEEN UNBOUNDED PR
 def suspension_fill(spark, sf_dir):
     bars = daily_bars(spark, sf_dir).select("code", "date", "close", "volume")
     # every day between a code's first and last bar on which any code traded
-    days = bars.select(in_calendar("date").alias("date")).distinct()
+    days = bars.select("date").distinct()
     spans = bars.groupBy("code").agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
     grid = (spans.select("code", F.explode(F.sequence("_a", "_b")).alias("date"))
-            .join(F.broadcast(days), "date", "left_semi"))
+            .join(days, "date", "left_semi"))
     filled = C.fill_suspended(grid.join(bars, ["code", "date"], "left"), ["close", "volume"])
     return report(filled, ["code", "date"], ["close", "volume"])
 

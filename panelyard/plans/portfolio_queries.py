@@ -85,7 +85,7 @@ _BM = ["beta", "alpha_capm", "alpha_backtest", "alpha_extended", "information_ra
 
 
 @query("benchmark_metrics", f"""WITH {WEEKLY}, {CURVE}, {BENCH}, j AS (SELECT ag.*, bm.*, annual_return, total_return FROM ag JOIN met USING (code), bm),
- k AS (SELECT *, 252 * ((mp - 0.03 / 252) - beta * (mb - 0.03 / 252)) AS alpha_capm, annual_return - beta * CASE WHEN abs(benchmark_return) < 10 THEN benchmark_return ELSE 0 END AS alpha_backtest,
+ k AS (SELECT *, 252 * ((mp - 0.03 / 252) - beta * (mb - 0.03 / 252)) AS alpha_capm, annual_return - beta * benchmark_return AS alpha_backtest,
  mp * 252 - (0.03 + beta * (mb * 252 - 0.03)) AS alpha_extended, (mp - mb) * 252 / (te * sqrt(252)) AS information_ratio, total_return - benchmark_return AS excess_return FROM j)
 SELECT code AS strategy_id, n_common, {outs(_BM, 5)} FROM k""")
 def benchmark_metrics(spark, sf_dir):
@@ -211,7 +211,7 @@ def nation_returns(spark, sf_dir):
     li, su, na = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation"))
     week = F.date_trunc("week", "l_shipdate").cast("date")
     per = li.groupBy("l_suppkey", week.alias("date")).agg(F.sum("l_extendedprice").alias("a"), F.sum("l_quantity").alias("q"))
-    geo = su.join(C.checked_broadcast(na), su.s_nationkey == na.n_nationkey).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("code"))
+    geo = su.join(na, su.s_nationkey == na.n_nationkey).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("code"))
     nb = per.join(geo, "l_suppkey").groupBy("code", "date").agg((F.sum("a") / F.sum("q")).alias("close"), F.sum("a").alias("amount"))
     return nb.select("code", "date", "amount", R.pct_change("close").alias("ret"))
 
@@ -278,7 +278,7 @@ _TW = f"""wts AS (SELECT r_name AS strategy_id, n_name AS code, date_trunc('week
 def region_weights(spark, sf_dir):
     """Weekly share of each nation in its region's returned amount; nations drop in and out."""
     li, su, na, re_ = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "region"))
-    geo = su.join(C.checked_broadcast(na.join(re_, na.n_regionkey == re_.r_regionkey)), F.col("s_nationkey") == F.col("n_nationkey"))
+    geo = su.join(na.join(re_, na.n_regionkey == re_.r_regionkey), F.col("s_nationkey") == F.col("n_nationkey"))
     per = (li.where("l_returnflag = 'A'").groupBy("l_suppkey", F.date_trunc("week", "l_shipdate").cast("date").alias("date")).agg(F.sum("l_extendedprice").alias("a"))
            .join(geo.select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias(KEY), F.col("n_name").alias("code")), "l_suppkey")
            .groupBy(KEY, "code", "date").agg(F.sum("a").alias("a")))
@@ -321,7 +321,7 @@ def brinson_rows(spark, sf_dir):
     na, re_ = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     geo = na.join(re_, na.n_regionkey == re_.r_regionkey).select(F.col("n_name").alias("code"), F.col("r_name").alias("industry"))
     mine = F.col("code") < "NATION_2"
-    r = nation_returns(spark, sf_dir).where("ret is not null").join(C.checked_broadcast(geo), "code")
+    r = nation_returns(spark, sf_dir).where("ret is not null").join(geo, "code")
     per = r.groupBy("date", "industry").agg(F.sum("amount").alias("a"), F.sum(F.when(mine, F.col("amount")).otherwise(0.0)).alias("pa"),
                                             F.avg("ret").alias("rb"), F.avg(F.when(mine, F.col("ret"))).alias("rp"))
     total = per.groupBy("date").agg(F.sum("a").alias("ta"), F.sum("pa").alias("tp"))

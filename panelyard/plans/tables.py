@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import packed_order, rounded
 from ..functions.sections import splits_for
-from ..operators.cleaning import checked_broadcast
 from ..sources.panel import to_bars
 
 # every row of lineitem in one order
@@ -17,9 +16,8 @@ LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_
 
 
 def line_order():
-    """LINE_ORDER as one number: seconds, order, line, cents, quantity."""
-    return packed_order((F.unix_seconds(F.col("l_shipdate").cast("timestamp")), 11), ("l_orderkey", 14), ("l_linenumber", 2),
-                        (F.round(F.col("l_extendedprice") * 100), 9), ("l_quantity", 2))
+    """The unique key of a line as one number: seconds, order (any long), line."""
+    return packed_order((F.unix_seconds(F.col("l_shipdate").cast("timestamp")), 11), ("l_orderkey", 19), ("l_linenumber", 8))
 
 
 def event_order():
@@ -64,7 +62,7 @@ def industries(spark, sf_dir):
     su = table(spark, sf_dir, "supplier")
     geo = na.join(re_, na.n_regionkey == re_.r_regionkey).select(
         F.col("n_nationkey").alias("s_nationkey"), F.col("r_name").alias("industry"))
-    return su.join(checked_broadcast(geo), "s_nationkey").select(code_of("s_suppkey").alias("code"), "industry")
+    return su.join(geo, "s_nationkey").select(code_of("s_suppkey").alias("code"), "industry")
 
 
 WEEKLY = """bars AS (
