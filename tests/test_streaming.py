@@ -76,12 +76,22 @@ def test_ingest_rejects_repeats_within_and_across_batches(spark):
     row = lambda i, h, shares=100: (f"e{i}", dt.date(2024, 1, 1), "000001.SH", "buy", shares, 9.0, 0.0, 0.0, 0.0, True, i, dt.datetime(2024, 1, 1, h), 0)
     parts = [[row(1, 9), row(1, 9), row(2, 9, 50)], [row(1, 10), row(3, 10)], [row(3, 11), row(4, 11)]]
     folder = new_folder(spark, "t")
-    stream, write = S.ingest(files(spark, parts, schema, f"{folder}/in"), folder, "1 hour")
+    stream, write = S.ingest(files(spark, parts, schema, f"{folder}/in"), folder)
     out = run_to_end(stream, folder, each_batch=write)
     assert sorted(r.execution_id for r in spark.read.parquet(f"{out}/accepted").collect()) == ["e1", "e3", "e4"]
     assert [r.execution_id for r in spark.read.parquet(f"{out}/quarantine").collect()] == ["e2"]
 
 
+def test_ingest_keeps_late_records(spark):
+    schema = SCHEMA + ", created_at timestamp, position_after_shares long"
+    row = lambda i, m: (f"e{i}", dt.date(2024, m, 1), "000001.SH", "buy", 100, 9.0, 0.0, 0.0, 0.0, True, i, dt.datetime(2024, m, 1, 9), 0)
+    parts = [[row(1, 3), row(2, 3)], [row(3, 1)], [row(4, 1), row(1, 3), row(3, 1)], [row(5, 2)]]
+    folder = new_folder(spark, "t")
+    stream, write = S.ingest(files(spark, parts, schema, f"{folder}/in"), folder)
+    out = run_to_end(stream, folder, each_batch=write)
+    assert sorted(r.execution_id for r in spark.read.parquet(f"{out}/accepted").collect()) == ["e1", "e2", "e3", "e4", "e5"]
+
+
 def test_rate_alerts(spark):
     base = dt.datetime(2024, 1, 1, 9, 30)
     rows = [(base + dt.timedelta(milliseconds=100 * i), i) for i in range(8)] + [(base + dt.timedelta(seconds=5), 99)]
