@@ -81,6 +81,7 @@ CATEGORIES = {
     "technical": (None, _technical),
     "financial": ("financial", _financial),
     "capital_flow": ("capital_flow", lambda df, t: FU.capital_flow_factors(df, t["capital_flow"])),
+    "valuation": ("valuation", lambda df, t: FU.valuation_percentile_factors(df, t["valuation"])),
     "dragon_tiger": ("top_list", lambda df, t: FU.top_list_factors(df, t["top_list"])),
     "shareholder": ("shareholder", lambda df, t: FU.holder_factors(df, t["shareholder"])),
 }

@@ -130,19 +130,20 @@ def alpha_expected(codes, alphas):
     return codes.join(newest, "code", "left").withColumn("expected", F.coalesce("alpha_score", F.lit(0.0))).drop("alpha_score")
 
 
-def covariance(returns, n_codes, n_dates, cells=2_000_000):
+def covariance(returns, cells=2_000_000):
     """Sample covariance of every pair of codes over the dates known for all of them.
 
     Codes are hashed into blocks and each pair of blocks is one task, which multiplies two
-    returns matrices of bounded size; pairs are never formed row by row. ``n_codes`` and
-    ``n_dates`` size the blocks. Rows: code_a <= code_b, covariance.
+    returns matrices of bounded size; pairs are never formed row by row. The
+    blocks are sized from the counted codes and dates. Rows: code_a <= code_b, covariance.
     """
     known = returns.where("ret is not null")
     complete = known.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
     total = known.agg(F.countDistinct("code").alias("_codes"))
     days = complete.crossJoin(F.broadcast(total)).where("_n = _codes").select("date")
     known = known.join(days, "date", "left_semi")
-    blocks = max(1, ceil(n_codes * n_dates / cells))
+    size = known.agg(F.approx_count_distinct("code").alias("codes"), F.approx_count_distinct("date").alias("dates")).first()
+    blocks = max(1, ceil(size["codes"] * size["dates"] / cells))
     b = F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
     rows = known.select("code", "date", "ret", b.alias("_b")).select("code", "date", "ret", "_b", F.explode(others).alias("_o"))

@@ -107,9 +107,7 @@ SELECT code, CAST(date AS VARCHAR) AS date, {', '.join(f'''round(CASE WHEN {x} I
  (len(list_filter({l}, lambda v: v = {x})) + 1) / 2.0) / len({l}) END, 6) + 0.0 AS {o}''' for x, l, o in (('pe', 'ps', 'pe_percentile'), ('pb', 'bs', 'pb_percentile')))} FROM l""")
 def factors_valuation_percentile(spark, sf_dir):
     panel = weekly_bars(spark, sf_dir).select("code", "date")
-    facts = reports(spark, sf_dir)
-    v = PT.asof_join(panel, facts, ["pe_ttm", "pb"], PT.announce_date(facts, "disclosure_date"))
-    out = FU.own_history_rank(v.select("code", "date", "pe_ttm", "pb"), {"pe_percentile": "pe_ttm", "pb_percentile": "pb"})
+    out = FU.valuation_percentile_factors(panel, reports(spark, sf_dir))
     return report(out, ["code", "date"], ["pe_percentile", "pb_percentile"])
 
 
@@ -127,11 +125,11 @@ def asof_snapshots(spark, sf_dir):
 
 @query("factors_capital_flow", f"""WITH {WEEKLY}, fl AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') || '.SH' AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
  sum(CASE WHEN l_linestatus = 'O' THEN l_extendedprice ELSE -l_extendedprice END) AS main_net_inflow,
- sum(CASE WHEN l_returnflag = 'A' THEN l_extendedprice ELSE 0 END) AS north_net_inflow FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2),
+ sum(CASE WHEN l_returnflag = 'A' THEN l_extendedprice ELSE 0 END) AS north_net_inflow FROM lineitem GROUP BY 1, 2),
  f5 AS (SELECT *, {roll('avg', 'main_net_inflow', 5, 1)} AS main_net_inflow_5d FROM fl)
 SELECT code, CAST(date AS VARCHAR) AS date, {r4(['main_net_inflow', 'main_net_inflow_5d', 'north_net_inflow'], 2)} FROM bars LEFT JOIN f5 USING (code, date)""")
 def factors_capital_flow(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'")
+    li = table(spark, sf_dir, "lineitem")
     flows = li.groupBy(code_of("l_suppkey").alias("code"), F.date_trunc("week", "l_shipdate").cast("date").alias("date")).agg(
         F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_extendedprice")).otherwise(-F.col("l_extendedprice"))).alias("main_net_inflow"),
         F.sum(F.when(F.col("l_returnflag") == "A", F.col("l_extendedprice")).otherwise(0.0)).alias("north_net_inflow"))
@@ -139,18 +137,18 @@ def factors_capital_flow(spark, sf_dir):
     return report(FU.capital_flow_factors(panel, flows), ["code", "date"], ["main_net_inflow", "main_net_inflow_5d", "north_net_inflow"], 2)
 
 
-@query("factors_events", f"""WITH {WEEKLY}, raw AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') || '.SH' AS code, * FROM lineitem),
- t AS (SELECT code, count(*) FILTER (l_returnflag = 'R') AS c, sum(CASE WHEN l_linestatus = 'O' THEN l_extendedprice ELSE -l_extendedprice END) AS b FROM raw WHERE l_quantity >= 49 GROUP BY 1),
- h AS (SELECT code, CAST(sum(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN -1 ELSE 0 END) AS BIGINT) AS ch, sum(l_discount) AS co FROM raw WHERE l_quantity <= 2 GROUP BY 1)
-SELECT code, CAST(date AS VARCHAR) AS date, coalesce(c, 0) AS lhb_count_5d, round(coalesce(b, 0), 2) + 0.0 AS lhb_net_buy, coalesce(ch, 0) AS top_holder_change,
- round(coalesce(co, 0), 4) + 0.0 AS holder_concentration FROM bars LEFT JOIN t USING (code) LEFT JOIN h USING (code)""")
+@query("factors_events", f"""WITH {WEEKLY}, e AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') || '.SH' AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
+ count(*) FILTER (l_quantity >= 49 AND l_returnflag = 'R') AS c, sum(CASE WHEN l_quantity < 49 THEN 0 WHEN l_linestatus = 'O' THEN l_extendedprice ELSE -l_extendedprice END) AS b,
+ CAST(sum(CASE WHEN l_quantity > 2 THEN 0 WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN -1 ELSE 0 END) AS BIGINT) AS ch, sum(l_discount) AS co FROM lineitem GROUP BY 1, 2)
+SELECT bars.code, CAST(bars.date AS VARCHAR) AS date, CAST(sum(c) OVER w AS BIGINT) AS lhb_count_5d, round(sum(b) OVER w, 2) + 0.0 AS lhb_net_buy, ch AS top_holder_change,
+ round(co, 4) + 0.0 AS holder_concentration FROM bars JOIN e ON bars.code = e.code AND bars.date = e.date WINDOW w AS (PARTITION BY bars.code ORDER BY bars.date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def factors_events(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    code = code_of("l_suppkey").alias("code")
-    top = li.where("l_quantity >= 49").select(code, (F.col("l_returnflag") == "R").alias("has_data"), F.when(
-        F.col("l_linestatus") == "O", F.col("l_extendedprice")).otherwise(-F.col("l_extendedprice")).alias("net_buy"))
-    holders = li.where("l_quantity <= 2").select(code, F.when(F.col("l_returnflag") == "R", "增持").when(
-        F.col("l_returnflag") == "A", "减持").otherwise("不变").alias("change_type"), F.col("l_discount").alias("hold_ratio"))
+    li = table(spark, sf_dir, "lineitem").withColumns({"code": code_of("l_suppkey"), "date": F.date_trunc("week", "l_shipdate").cast("date")})
+    signed = F.when(F.col("l_linestatus") == "O", F.col("l_extendedprice")).otherwise(-F.col("l_extendedprice"))
+    large, small = F.col("l_quantity") >= 49, F.col("l_quantity") <= 2
+    top = li.select("code", "date", (large & (F.col("l_returnflag") == "R")).alias("has_data"), F.when(large, signed).otherwise(0.0).alias("net_buy"))
+    holders = li.select("code", "date", F.when(small & (F.col("l_returnflag") == "R"), "增持").when(
+        small & (F.col("l_returnflag") == "A"), "减持").otherwise("不变").alias("change_type"), F.col("l_discount").alias("hold_ratio"))
     panel = weekly_bars(spark, sf_dir).select("code", "date")
     out = FU.holder_factors(FU.top_list_factors(panel, top), holders)
     return report(out, ["code", "date", "lhb_count_5d", "top_holder_change"], [("lhb_net_buy", 2), ("holder_concentration", 4)])

@@ -242,7 +242,7 @@ def alpha_expected(spark, sf_dir):
  k AS (SELECT nr.* FROM nr JOIN d USING (date)) SELECT a.code AS code_a, b.code AS code_b, round(covar_samp(a.ret, b.ret), 7) + 0.0 AS covariance FROM k a JOIN k b ON a.date = b.date AND a.code <= b.code GROUP BY 1, 2""")
 def covariance_matrix(spark, sf_dir):
     # small cells so that several blocks are multiplied
-    return report(PF.covariance(nation_returns(spark, sf_dir), 25, 360, 4000), ["code_a", "code_b"], ["covariance"], 7)
+    return report(PF.covariance(nation_returns(spark, sf_dir), 4000), ["code_a", "code_b"], ["covariance"], 7)
 
 
 _NW = "nw AS (SELECT code, sum(amount) / (SELECT sum(amount) FROM nr) AS weight FROM nr GROUP BY code)"
@@ -271,15 +271,15 @@ def industry_exposure(spark, sf_dir):
 
 
 _TW = f"""wts AS (SELECT r_name AS strategy_id, n_name AS code, date_trunc('week', l_shipdate)::DATE AS date, sum(l_extendedprice) AS a FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
- JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_returnflag = 'A' GROUP BY 1, 2, 3),
+ JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3),
  ww AS (SELECT strategy_id, code, date, a / sum(a) OVER (PARTITION BY strategy_id, date) AS w FROM wts)"""
 
 
 def region_weights(spark, sf_dir):
-    """Weekly share of each nation in its region's returned amount; nations drop in and out."""
+    """Weekly share of each nation in its region's amount; nations drop in and out."""
     li, su, na, re_ = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "region"))
     geo = su.join(na.join(re_, na.n_regionkey == re_.r_regionkey), F.col("s_nationkey") == F.col("n_nationkey"))
-    per = (li.where("l_returnflag = 'A'").groupBy("l_suppkey", F.date_trunc("week", "l_shipdate").cast("date").alias("date")).agg(F.sum("l_extendedprice").alias("a"))
+    per = (li.groupBy("l_suppkey", F.date_trunc("week", "l_shipdate").cast("date").alias("date")).agg(F.sum("l_extendedprice").alias("a"))
            .join(geo.select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias(KEY), F.col("n_name").alias("code")), "l_suppkey")
            .groupBy(KEY, "code", "date").agg(F.sum("a").alias("a")))
     total = per.groupBy(KEY, "date").agg(F.sum("a").alias("t"))

@@ -78,7 +78,7 @@ def test_covariance_blocks_equal_numpy(spark):
     df = spark.createDataFrame(rows, "code string, date date, ret double")
     want = np.cov(x.T)
     for cells in (10_000, 60):
-        got = {(r.code_a, r.code_b): r.covariance for r in PF.covariance(df, 8, 30, cells).collect()}
+        got = {(r.code_a, r.code_b): r.covariance for r in PF.covariance(df, cells).collect()}
         assert len(got) == 36
         for (a, b), v in got.items():
             assert v == pytest.approx(want[int(a[1]), int(b[1])])
