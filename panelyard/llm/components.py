@@ -1,39 +1,26 @@
-"""Connected components of a link table by contraction."""
+"""Connected components of a link table."""
 
 import pyspark.sql.functions as F
 
 from ..session import materialize
 
 
-def _jump(parent):
-    """Follow parents to their roots; every pass doubles the distance covered."""
-    while True:
-        up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
-        parent = materialize(parent.join(up, "parent", "left").select("node", F.coalesce("next", "parent").alias("parent"),
-                                                                      F.col("next").isNotNull().alias("moved")))
-        if parent.filter("moved").limit(1).count() == 0:
-            return parent.select("node", "parent")
-        parent = parent.select("node", "parent")
-
-
 def components(links):
     """(node, root) for every node of the links (a, b); root is the least node of its component.
 
-    Each round hooks every node to its least neighbour, follows the hooks to their roots and
-    replaces the nodes of the links by these, until no link joins two roots. Tables are stored
-    between rounds, none passes through the driver, and a node with very many links only
-    meets partial minima. Links of a node with itself give a component of one.
+    Each round every node takes the least root among its own and its neighbours', then the
+    root of that root, so the distance covered more than doubles; rounds go on until nothing
+    changes. The table is stored after each round and never passes through the driver; a node
+    with very many links only meets partial minima. A link of a node with itself gives a
+    component of one.
     """
-    links = materialize(links.select("a", "b"))
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    roots = materialize(nodes.select("node", F.col("node").alias("root")))
-    links = links.filter("a <> b")
-    while links.limit(1).count():
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")).filter("parent < node")
-        parent = _jump(materialize(least))
-        top = lambda df, c: (df.join(parent.withColumnRenamed("node", c).withColumnRenamed("parent", "_top"), c, "left")
-                             .withColumn(c, F.coalesce("_top", c)).drop("_top"))
-        roots = materialize(top(roots, "root").select("node", "root"))
-        links = materialize(top(top(links, "a"), "b").filter("a <> b").distinct())
-    return roots
+    both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    roots = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
+    while True:
+        near = (both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near")))
+        nearer = roots.join(near, "node").select("node", F.col("root").alias("before"), F.least("root", "near").alias("root"))
+        top = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = materialize(nearer.join(top, "root").select("node", F.least("root", "top").alias("root"), (F.least("root", "top") < F.col("before")).alias("moved")))
+        if roots.filter("moved").limit(1).count() == 0:
+            return roots.select("node", "root")
+        roots = roots.select("node", "root")
