@@ -145,8 +145,8 @@ def close_links(fingerprints, radius=RADIUS, groups=GROUPS):
     whole = Window.partitionBy("cell")
     live = materialize(grid_cells(fingerprints, radius, groups).withColumn("low", F.min("fp").over(whole))
                        .withColumn("high", F.max("fp").over(whole)).filter("low <> high"))
-    star = materialize(live.select(F.col("fp").alias("a"), F.explode(F.array("low", "high")).alias("b"))
-                       .filter("a <> b").filter(near("a", "b")).distinct())
+    ends = F.array_compact(F.array(*[F.when((F.col("fp") != F.col(e)) & near("fp", e), F.col(e)) for e in ("low", "high")]))
+    star = materialize(live.select(F.col("fp").alias("a"), F.explode(ends).alias("b")).distinct())
     roots = components(star)
     member = (live.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("cell", "fp", F.coalesce("root", "fp").alias("root")))
     sizes = member.groupBy("cell", "root").agg(F.count("*").alias("n"))
@@ -229,11 +229,12 @@ def near_duplicates(docs, words=5, similarity=0.8, tables=TABLES):
     from math import acos, pi, sqrt
     p = acos(2 * similarity / (1 + similarity)) / pi
     most = int(128 * p + 4 * sqrt(128 * p * (1 - p))) + 1
+    def close(e):
+        return (F.col(e)["node"] != F.col("node")) & (F.bit_count(F.col("fp0").bitwiseXOR(F.col(e)["fp0"]))
+                                                      + F.bit_count(F.col("fp1").bitwiseXOR(F.col(e)["fp1"])) <= most)
+    found = F.array_compact(F.array(*[F.when(close(e), F.col(e)["node"]) for e in ("low", "high")]))
     seen = (held.withColumn("low", F.min(ends).over(whole)).withColumn("high", F.max(ends).over(whole))
-            .select("node", "fp0", "fp1", F.explode(F.array("low", "high")).alias("e"))
-            .filter((F.col("e.node") != F.col("node")) & (F.bit_count(F.col("fp0").bitwiseXOR(F.col("e.fp0")))
-                    + F.bit_count(F.col("fp1").bitwiseXOR(F.col("e.fp1"))) <= most))
-            .select(F.least("node", "e.node").alias("a"), F.greatest("node", "e.node").alias("b")).distinct())
+            .select("node", F.explode(found).alias("e")).select(F.least("node", "e").alias("a"), F.greatest("node", "e").alias("b")).distinct())
     pairs = materialize(seen)
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = node.join(involved, "node", "left_semi").select("node", "first.row_key")
