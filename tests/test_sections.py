@@ -64,10 +64,11 @@ def test_stats_attach(skewed, splits):
     np.testing.assert_allclose(got["s"], pdf.groupby("date")["x"].transform("std"))
 
 
-def test_dates_outside_the_calendar_fail(spark):
-    df = spark.sql("select date'2300-01-01' as date, 1.0D as x")
-    with pytest.raises(Exception, match="outside 1900-2100"):
-        S.with_stats(df, {"m": F.avg("x")}, splits=4).collect()
+@pytest.mark.parametrize("splits", [1, 4])
+def test_dates_of_any_year(spark, splits):
+    df = spark.sql("select * from values (date'2300-01-01', 1.0D), (date'0850-01-01', 3.0D), (date'2300-01-01', 2.0D) as t(date, x)")
+    got = sorted((r.date.year, r.m, r.x_rank) for r in S.with_avg_rank(S.with_stats(df, {"m": F.avg("x")}, splits=splits), ["x"], splits=splits).collect())
+    assert got == [(850, 3.0, 1.0), (2300, 1.5, 0.5), (2300, 1.5, 1.0)]
 
 
 def test_splits_follow_the_number_of_codes(spark):
