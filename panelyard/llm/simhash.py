@@ -26,6 +26,7 @@ RADIUS = 4
 GROUPS = 8              # of four two-bit segments each
 SEED = 42
 TABLES = 64             # cells per document of the similarity search
+FIRST_TABLES = 6        # of these, compared before the others
 PICKED = 11             # two-bit segments that make a cell there
 ODD = 0x5555555555555555
 
@@ -224,7 +225,7 @@ def near_duplicates(docs, words=5, similarity=0.8, tables=TABLES):
     ends = F.struct("node", "fp0", "fp1")
     whole = Window.partitionBy("cell")
     held = (node.withColumn("v0", popcounts(F.col("fp0"))).withColumn("v1", popcounts(F.col("fp1")))
-            .select("node", "fp0", "fp1", F.explode(cells).alias("cell")))
+            .select("node", "fp0", "fp1", F.posexplode(cells).alias("table", "cell")))
     # a pair with the wanted similarity differs in 128 (arc cos s) / pi bits; four deviations more are let through
     from math import acos, pi, sqrt
     p = acos(2 * similarity / (1 + similarity)) / pi
@@ -234,14 +235,23 @@ def near_duplicates(docs, words=5, similarity=0.8, tables=TABLES):
                                                       + F.bit_count(F.col("fp1").bitwiseXOR(F.col(e)["fp1"])) <= most)
     found = F.array_compact(F.array(*[F.when(close(e), F.col(e)["node"]) for e in ("low", "high")]))
     seen = (held.withColumn("low", F.min(ends).over(whole)).withColumn("high", F.max(ends).over(whole))
-            .select("node", F.explode(found).alias("e")).select(F.least("node", "e").alias("a"), F.greatest("node", "e").alias("b")).distinct())
+            .select("node", "table", F.explode(found).alias("e"))
+            .groupBy(F.least("node", "e").alias("a"), F.greatest("node", "e").alias("b")).agg(F.min("table").alias("table")))
     pairs = materialize(seen)
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = node.join(involved, "node", "left_semi").select("node", "first.row_key")
     texts = materialize(keyed.select("row_key", "text").join(chosen, "row_key").select("node", "text"))
-    with_text = (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-                 .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"))
-    roots = components(_similar(with_text, words, similarity))
+
+    def verified(some):
+        return materialize(_similar(some.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+                                    .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"), words, similarity))
+    # pairs from the later tables are compared only where the first ones have not joined them already
+    links = verified(pairs.filter(F.col("table") < FIRST_TABLES))
+    known = components(links)
+    for side in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    apart = pairs.filter((F.col("table") >= FIRST_TABLES) & (F.coalesce("root_a", "a") != F.coalesce("root_b", "b")))
+    roots = components(links.unionByName(verified(apart)))
     labelled = node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = labelled.groupBy("root").agg(F.min("first").alias("best")).select("root", F.col("best.row_key").alias("row_key"))
     return best.select("row_key")
