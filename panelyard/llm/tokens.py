@@ -87,14 +87,17 @@ def frequencies(docs):
 def piece_counts(pre_tokens, path):
     """Adds ``pieces``: the tokenizer runs once per distinct pre-token."""
     def pieces(batches):
+        import os
+
         import pyarrow as pa
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # the cores are Spark's, and threads cost memory
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
         for b in batches:
             names = b.column(0).to_pylist()
             got = []
-            for i in range(0, len(names), 2000):
-                got += [len(e.ids) for e in tok.encode_batch(names[i:i + 2000], add_special_tokens=False)]
+            for i in range(0, len(names), 500):
+                got += [len(e.ids) for e in tok.encode_batch(names[i:i + 500], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.int64())], ["pre_token", "n", "pieces"])
     return pre_tokens.select("pre_token", "n").mapInArrow(pieces, "pre_token string, n long, pieces long")
 
