@@ -25,9 +25,9 @@ from .components import components
 RADIUS = 4
 GROUPS = 8              # of four two-bit segments each
 SEED = 42
-TABLES = 64             # cells per document of the similarity search
-FIRST_TABLES = 6        # of these, compared before the others
-PICKED = 11             # two-bit segments that make a cell there
+SKETCH = 8              # 64-bit words of a shingle set's parities
+SAMPLE = 20_000         # texts whose shingles are counted to tell common ones
+COMMON = 1 << 16        # shingles known as common
 ODD = 0x5555555555555555
 
 
@@ -196,70 +196,148 @@ def _similar(pairs, words, similarity):
                 if both >= similarity * (len(shingles) + len(other) - both) or shingles == other:
                     keep.append(i)
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs, words=5, similarity=0.8, tables=TABLES):
+def common_shingles(docs, words, sample=SAMPLE, most=COMMON):
+    """The ``most`` most frequent shingles of about ``sample`` texts and their counts, sorted by shingle.
+
+    They only decide which shingles of a text come last, so the sample changes the work, not the result.
+    """
+    import numpy as np
+    every = max(1, docs.count() // sample)
+
+    def run(batches):
+        import pyarrow as pa
+        hashes = shingle_hasher(words)
+        for b in batches:
+            for text in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(set(hashes(text.as_py().encode()))), np.uint64).view(np.int64))], ["shingle"])
+    some = docs.filter((F.pmod(F.xxhash64("row_key"), F.lit(every)) == 0) & F.col("text").isNotNull())
+    counts = some.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2")
+    top = counts.orderBy(F.desc("n"), "shingle").limit(most).collect()
+    shingle = np.array([r["shingle"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(shingle)
+    return shingle[order], np.array([r["n"] for r in top], np.int64)[order]
+
+
+def shingle_sets(docs, words, similarity, common):
+    """``docs`` (without the text) with what stands for the set of a text's shingles.
+
+    h0, h1: hash of the set; size; s0, s1, ...: parity of the number of shingles in each of
+    64 * SKETCH classes, so that two sets differ in at least as many shingles as their parities
+    in bits; prefix: the first shingles, rare ones first. Two sets with the wanted similarity
+    share a shingle of their prefixes.
+    """
+    keep = [c for c in docs.columns if c != "text"]
+    names = ["h0", "h1", "size", *[f"s{i}" for i in range(SKETCH)], "prefix"]
+    shift = 64 - (64 * SKETCH).bit_length() + 1
+
+    def run(batches):
+        from math import ceil
+
+        import numpy as np
+        import pyarrow as pa
+        from xxhash import xxh3_128_digest
+        hashes = shingle_hasher(words)
+        known, often = common
+        for b in batches:
+            ids, size, sketch, prefix = [], [], [np.zeros((0, SKETCH), np.int64)], [np.zeros(0, np.uint64)]
+            for text in b.column(len(keep)):
+                s = np.unique(np.array(hashes(text.as_py().encode()) if text.is_valid else [], np.uint64))
+                n = len(s)
+                ids.append(xxh3_128_digest(s.tobytes()))
+                size.append(n)
+                sketch.append(np.packbits((np.bincount((s >> np.uint64(shift)).astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)[None])
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[at] == s, often[at], 0), kind="stable")]
+                prefix.append(s[:n - ceil(similarity * n - 1e-9) + 1])
+            ids = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
+            sketch = np.concatenate(sketch)
+            ends = np.cumsum([0, *map(len, prefix[1:])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(size, pa.int32()),
+                                              *[pa.array(sketch[:, i]) for i in range(SKETCH)],
+                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix).view(np.int64)))], [*keep, *names])
+    rows = docs.select(*keep, "text")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return rows.mapInArrow(run, ", ".join([*fields, "h0 long, h1 long, size int", *[f"s{i} long" for i in range(SKETCH)], "prefix array<long>"]))
+
+
+def near_duplicates(docs, words=5, similarity=0.8):
     """Row keys (monotonically_increasing_id of ``docs``) of one row of each group of near-duplicate texts.
 
-    A node stands for the rows with one 128-bit fingerprint. Cells of ``PICKED`` segment
-    popcounts, ``tables`` per node, bring near copies together; each node is compared with the
-    least and greatest of its cells, never all pairs, first by Hamming distance, then exactly
-    by the Jaccard similarity of the texts' shingles. The kept row of a group is the one with
+    A node stands for the rows with one set of shingles. Nodes that share a shingle of their
+    prefixes lie in one cell, and every pair with the wanted similarity does. Each node first
+    meets the member of its cells that shares most with others, then that of each cell; the
+    components of these links are contracted, and all pairs of different components that are
+    left in a cell are compared. Parities of the sets rule pairs out, the Jaccard similarity of
+    the texts' shingles decides: no pair is missed. The kept row of a group is the one with
     the least doc_id (a row without doc_id only if there is no other). Texts without words form
-    one group. Tables and cells are fixed numbers; at a similarity of 0.9 a pair is missed in
-    fewer than one case in 100, at 0.8 in about one of eight when nothing else joins them.
+    one group.
     """
-    import random
     keyed = docs.select("doc_id", "text").withColumn("row_key", F.monotonically_increasing_id())
-    signed = materialize(fingerprint_column(keyed, words, 2).withColumn("node", F.concat(F.lpad(F.hex("fp0"), 16, "0"), F.lpad(F.hex("fp1"), 16, "0"))))
-    node = signed.groupBy("node", "fp0", "fp1").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("first"))
-    pick, masks = random.Random(SEED), []
-    for _ in range(tables):
-        m = [0, 0]
-        for s in pick.sample(range(64), PICKED):
-            m[s // 32] |= 3 << (2 * (s % 32))
-        masks.append((_signed(m[0]), _signed(m[1])))
-    cells = F.transform(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(i).alias("i")) for i, (a, b) in enumerate(masks)]),
-                        lambda m: F.xxhash64(m["i"], F.col("v0").bitwiseAND(m["x"]), F.col("v1").bitwiseAND(m["y"])))
-    ends = F.struct("node", "fp0", "fp1")
-    whole = Window.partitionBy("cell")
-    held = (node.withColumn("v0", popcounts(F.col("fp0"))).withColumn("v1", popcounts(F.col("fp1")))
-            .select("node", "fp0", "fp1", F.posexplode(cells).alias("table", "cell")))
-    # a pair with the wanted similarity differs in 128 (arc cos s) / pi bits; four deviations more are let through
-    from math import acos, pi, sqrt
-    p = acos(2 * similarity / (1 + similarity)) / pi
-    most = int(128 * p + 4 * sqrt(128 * p * (1 - p))) + 1
-    def close(e):
-        return (F.col(e)["node"] != F.col("node")) & (F.bit_count(F.col("fp0").bitwiseXOR(F.col(e)["fp0"]))
-                                                      + F.bit_count(F.col("fp1").bitwiseXOR(F.col(e)["fp1"])) <= most)
-    found = F.array_compact(F.array(*[F.when(close(e), F.col(e)["node"]) for e in ("low", "high")]))
-    seen = (held.withColumn("low", F.min(ends).over(whole)).withColumn("high", F.max(ends).over(whole))
-            .select("node", "table", F.explode(found).alias("e"))
-            .groupBy(F.least("node", "e").alias("a"), F.greatest("node", "e").alias("b")).agg(F.min("table").alias("table")))
-    pairs = materialize(seen)
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = node.join(involved, "node", "left_semi").select("node", "first.row_key")
-    texts = materialize(keyed.select("row_key", "text").join(chosen, "row_key").select("node", "text"))
-
-    def verified(some):
-        return materialize(_similar(some.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-                                    .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"), words, similarity))
-    # pairs from the later tables are compared only where the first ones have not joined them already
-    links = verified(pairs.filter(F.col("table") < FIRST_TABLES))
-    known = components(links)
-    for side in ("a", "b"):
-        pairs = pairs.join(known.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    apart = pairs.filter((F.col("table") >= FIRST_TABLES) & (F.coalesce("root_a", "a") != F.coalesce("root_b", "b")))
-    roots = components(links.unionByName(verified(apart)))
-    labelled = node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = labelled.groupBy("root").agg(F.min("first").alias("best")).select("root", F.col("best.row_key").alias("row_key"))
-    return best.select("row_key")
-
-
-def drop_near_duplicates(docs, words=5, similarity=0.8, tables=TABLES):
+    signed = materialize(shingle_sets(keyed, words, similarity, common_shingles(keyed, words)))
+    first = signed.groupBy("h0", "h1").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("first"))
+    node = materialize(signed.join(first.select("first", F.col("first.row_key").alias("row_key")), "row_key").drop("doc_id", "h0", "h1")
+                       .withColumnRenamed("row_key", "node"))
+    live = materialize(node.select("node", "size", F.explode("prefix").alias("cell"))
+                       .withColumn("n", F.count("*").over(Window.partitionBy("cell"))).filter("n > 1"))
+    parity = [f"s{i}" for i in range(SKETCH)]
+    sketch = node.select("node", "size", F.struct(*parity).alias("s"))
+
+    def possible(a, b):
+        """Sets of the wanted similarity differ in at most (1 - s) / (1 + s) of their summed sizes."""
+        apart = sum(F.bit_count(F.col(f"s_{a}.{x}").bitwiseXOR(F.col(f"s_{b}.{x}"))) for x in parity)
+        most = (F.col(f"size_{a}") + F.col(f"size_{b}")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        return (F.abs(F.col(f"size_{a}") - F.col(f"size_{b}")) <= most) & (apart <= most)
+
+    def side(rows, name):
+        return rows.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("s").alias(f"s_{name}"))
+
+    def with_texts(pairs):
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("row_key")).distinct()
+        return materialize(keyed.select("row_key", "text").join(involved, "row_key", "left_semi"))
+
+    def verified(some, texts):
+        return materialize(_similar(some.select("a", "b").join(texts.select(F.col("row_key").alias("b"), F.col("text").alias("text_b")), "b")
+                                    .join(texts.select(F.col("row_key").alias("a"), F.col("text").alias("text_a")), "a"), words, similarity))
+
+    def rooted(rows, roots, *names):
+        for x in names:
+            rows = (rows.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+                    .withColumn(f"root_{x}", F.coalesce(f"root_{x}", x)))
+        return rows
+
+    shared = live.groupBy("node").agg(F.sum("n").alias("score"))
+    hub = live.join(shared, "node").groupBy("cell").agg(F.max(F.struct("score", "node")).alias("hub"))
+    met = live.join(hub, "cell").filter("node <> hub.node").groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.max("hub.score").alias("score"))
+    pairs = materialize(met.join(side(sketch, "a"), "a").join(side(sketch, "b"), "b").filter(possible("a", "b")).select("a", "b", "score"))
+    texts = with_texts(pairs)
+    best = pairs.groupBy("a").agg(F.max(F.struct("score", "b")).alias("m")).select("a", "m.b")
+    links = verified(best, texts)
+    again = rooted(pairs.join(best, ["a", "b"], "left_anti"), components(links), "a", "b").filter("root_a <> root_b")
+    links = materialize(links.unionByName(verified(again, texts)))
+
+    # what is left: pairs of different components in a cell, one side outside the cell's largest component
+    member = rooted(live.select("cell", "node"), components(links), "node").withColumnRenamed("root_node", "root")
+    sizes = member.groupBy("cell", "root").agg(F.count("*").alias("n"))
+    mixed = (sizes.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("cell", F.col("m.root").alias("main")))
+    member = materialize(member.join(mixed, "cell").join(sketch, "node"))
+    left = member.filter("root <> main").select("cell", F.col("root").alias("root_a"), F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("s").alias("s_a"))
+    right = member.select("cell", F.col("root").alias("root_b"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("s").alias("s_b"))
+    rest = (left.join(right, "cell").filter(F.col("root_a") != F.col("root_b")).filter(possible("a", "b"))
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = materialize(rest.join(known, ["a", "b"], "left_anti"))
+    roots = components(links.unionByName(verified(rest, with_texts(rest))))
+    labelled = rooted(node.select("node", "first"), roots, "node")
+    return labelled.groupBy("root_node").agg(F.min("first").alias("best")).select("best.row_key")
+
+
+def drop_near_duplicates(docs, words=5, similarity=0.8):
     """``docs`` with one row of each near-duplicate group."""
     key, = free_name(docs, "row_key")
     keyed = docs.withColumn(key, F.monotonically_increasing_id())
-    kept = materialize(near_duplicates(docs, words, similarity, tables)).withColumnRenamed("row_key", key)
+    kept = materialize(near_duplicates(docs, words, similarity)).withColumnRenamed("row_key", key)
     return keyed.join(kept, key, "left_semi").drop(key)

@@ -92,3 +92,43 @@ def test_media_edges(spark, store):
     assert media.copies(images.limit(0)).count() == 0
     vectors = spark.createDataFrame([(1, None), (None, [1.0]), (2, [])], "vec_id long, embedding array<float>")
     assert {r["image_id"] for r in media.render(vectors).collect()} == {4}
+
+
+def _brute_kept(rows, words=5, similarity=0.8):
+    """doc_ids kept by comparing all pairs."""
+    hashes = simhash.shingle_hasher(words)
+    sets, root = [set(hashes(t.encode())) for _, t in rows], list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                root[top(i)] = top(j)
+    return sorted(min(rows[j][0] for j in range(len(rows)) if top(j) == g) for g in {top(i) for i in range(len(rows))})
+
+
+def test_near_duplicates_of_a_star_equal_brute_force(spark, tmp_path):
+    """Variants like one original but not like each other, chains and strangers with a common part: no pair is missed."""
+    import random
+    r = random.Random(3)
+    fresh = lambda n: [f"w{r.randrange(10 ** 9)}" for _ in range(n)]
+    base, footer, rows = fresh(200), fresh(60), []
+    for i in range(250):
+        text = list(base)
+        for at in r.sample(range(0, 200, 10), 4):
+            text[at] = f"v{r.randrange(10 ** 9)}"
+        rows.append((i + 1000, " ".join(text)))
+    rows.append((5000, " ".join(base)))
+    chain = fresh(150)
+    for i in range(20):
+        chain = chain[5:] + fresh(5)
+        rows.append((2000 + i, " ".join(chain)))
+    rows += [(3000 + i, " ".join(fresh(r.randrange(40, 90)) + footer)) for i in range(60)]
+    r.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert sorted(x["doc_id"] for x in simhash.drop_near_duplicates(docs).collect()) == _brute_kept(rows)
