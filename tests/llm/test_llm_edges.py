@@ -132,3 +132,10 @@ def test_near_duplicates_of_a_star_equal_brute_force(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
     assert sorted(x["doc_id"] for x in simhash.drop_near_duplicates(docs).collect()) == _brute_kept(rows)
+
+
+def test_filler_runs_do_not_merge_texts(spark):
+    """A shingle that makes up most of a text decides every bit of a fingerprint, but not the set of shingles."""
+    rows = [(i, " ".join(f"t{i}x{j}" for j in range(60)) + " ." * 200) for i in range(6)] + [(9, " ".join(f"t0x{j}" for j in range(60)) + " ." * 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.drop_near_duplicates(docs).collect()) == [0, 1, 2, 3, 4, 5]
