@@ -139,3 +139,22 @@ def test_filler_runs_do_not_merge_texts(spark):
     rows = [(i, " ".join(f"t{i}x{j}" for j in range(60)) + " ." * 200) for i in range(6)] + [(9, " ".join(f"t0x{j}" for j in range(60)) + " ." * 90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(x["doc_id"] for x in simhash.drop_near_duplicates(docs).collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_every_source_is_scheduled(spark):
+    rows = [(i, f"s{i % 150:03d}" if i < 3000 else "big", "x" * 180) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = mixing.mix(docs, block_bytes=512).collect()
+    assert len(out) == 9000 and all(r["mix_class"] == r["source"] for r in out)
+    blocks = {(r["mix_class"], r["block"]): r for r in out}
+    assert len({r["slot"] for r in blocks.values()}) == len(blocks)
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in blocks.values())
+    # weights 1 to 12: over the first slots each source is less than one block away from its share
+    weights = {"big": 12.0, "s007": 3.0, mixing.REST: 1.0}
+    first = {r["slot"]: r["mix_class"] for r in mixing.mix(docs, weights, 512).filter("phase = 0").collect()}
+    for s, share in (("big", 12 / 16), ("s007", 3 / 16)):
+        assert all(abs(sum(c == s for t, c in first.items() if t < k) - share * k) <= 1 + 1e-3 * k for k in range(1, 40))
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"nowhere": 1.0})
+    tiny = mixing.quanta({"a": 1e6, **{f"t{i}": 1.0 for i in range(40)}})
+    assert sum(tiny.values()) == mixing.QUANTUM and min(tiny.values()) == 1
