@@ -184,7 +184,7 @@ def fit(docs, labels, column="toxic", sample=SAMPLE):
     table = unit_table(unit_counts(rows))
     shared = spark.sparkContext.broadcast(table)
 
-    def own_scores(batches):
+    def own_scores(batches, give):
         import pyarrow as pa
         toxic, clean = shared.value
         t, c, words = memoryview(toxic), memoryview(clean), words_of()
@@ -202,20 +202,23 @@ def fit(docs, labels, column="toxic", sample=SAMPLE):
                             ratio = (t[u] - less1 + PRIOR * ratio) / (c[u] - less0 + PRIOR)
                         s = memo[w] = log(max(ratio, 1e-4)) - DRIFT
                     values.append(s)
-                found = sorted((s for _, _, s in segments(values)), reverse=True)[:64]
-                out.append((label, len(values), found))
+                out.append((label, len(values), *give(segments(values), len(values))))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()),
-                                              pa.array([o[2] for o in out], pa.list_(pa.float32()))], ["label", "n", "found"])
+                                              pa.array([o[2] for o in out], pa.float64()), pa.array([o[3] for o in out], pa.float64())],
+                                             ["label", "n", "best", "total"])
     shared_step = spark.sparkContext.broadcast(float(_clean_step(table)))
-    got = rows.select("text", "label").mapInArrow(own_scores, "label int, n long, found array<float>").toPandas()
+
+    def passed(give):
+        """label, n and the two numbers that ``give`` makes of all segments of each text."""
+        return rows.select("text", "label").mapInArrow(lambda batches: own_scores(batches, give), "label int, n long, best double, total double").toPandas()
+    got = passed(lambda found, n: (max((s for _, _, s in found), default=0.0), 0.0))
     y = got["label"].to_numpy()
     if len(got) == 0 or y.min() == y.max():
         return {"table": table, "lam": 1.0, "k": 0.05, "weights": None}
-    best = np.array([max(f, default=0.0) if f is not None else 0.0 for f in got["found"]], float)
     clean = y == 0
-    lam, k = fit_extreme(best[clean], got["n"].to_numpy()[clean])
-    x = np.array([evidence([(0, 0, float(s)) for s in f], n, lam, k) for f, n in zip(got["found"], got["n"])])
-    return {"table": table, "lam": lam, "k": k, "weights": logistic(x, y).tolist()}
+    lam, k = fit_extreme(got["best"].to_numpy()[clean], got["n"].to_numpy()[clean])
+    got = passed(lambda found, n: evidence(found, n, lam, k))
+    return {"table": table, "lam": lam, "k": k, "weights": logistic(got[["best", "total"]].to_numpy(), got["label"].to_numpy()).tolist()}
 
 
 def _clean_step(table):

@@ -158,3 +158,19 @@ def test_every_source_is_scheduled(spark):
         mixing.mix(docs, {"nowhere": 1.0})
     tiny = mixing.quanta({"a": 1e6, **{f"t{i}": 1.0 for i in range(40)}})
     assert sum(tiny.values()) == mixing.QUANTUM and min(tiny.values()) == 1
+
+
+def test_calibration_sees_all_segments(spark, monkeypatch):
+    """The evidence of a training text grows beyond its 64 best segments."""
+    import random
+    r = random.Random(5)
+    plain = lambda n: " ".join(f"plain{r.randrange(60)}" for _ in range(n))
+    long = lambda k: " ".join(f"vile{r.randrange(8)} {plain(4)}" for _ in range(k))
+    texts = [(i, long(5), 1) for i in range(40)] + [(100 + i, plain(40), 0) for i in range(80)] + [(300, long(60), 1), (301, long(240), 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
+    seen, fitted = [], toxicity.logistic
+    monkeypatch.setattr(toxicity, "logistic", lambda x, y: seen.append(x) or fitted(x, y))
+    toxicity.fit(docs, labels)
+    totals = sorted(seen[0][:, 1])
+    assert totals[-1] > 2 * totals[-2] > 0
