@@ -56,8 +56,19 @@ def materialize(df):
     """Write a table that later steps read several times to the shared folder.
 
     Lineage ends there, so a lost executor costs no recomputation, and Catalyst knows the
-    size of what it reads back. The files stay until the folder is cleaned.
+    size of what it reads back. The files stay until
+    ``release`` or until the folder is cleaned.
     """
     path = f"{shared_folder(df.sparkSession)}/panelyard-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def release(*tables):
+    """Delete tables made by ``materialize`` that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
