@@ -1,5 +1,7 @@
 """Helpers shared by the operators of this folder."""
 
+from contextlib import contextmanager
+
 import pyspark.sql.functions as F
 
 
@@ -33,3 +35,15 @@ def without(df, *names):
 def with_row_key(df, name="row_key"):
     """A number per row, stable as long as the files read stay the same."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+@contextmanager
+def batch_rows(spark, rows):
+    """Inside, Arrow batches hold at most ``rows`` rows: for tables whose rows are whole blocks. Run the work inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
