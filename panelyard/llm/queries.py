@@ -2,7 +2,7 @@
 
 import pyspark.sql.functions as F
 
-from . import decontaminate, lines, media, mixing, quality, secrets, sharding, simhash, tokens, toxicity
+from . import collocations, decontaminate, impact, lines, media, mixing, quality, secrets, sharding, simhash, spelling, tokens, toxicity
 from .common import read
 
 QUERIES, ORACLE = {}, {}
@@ -81,3 +81,18 @@ def op4_media(spark, sf_dir):
     images = media.render(read(spark, sf_dir, "embeddings"))
     found = media.copies(images)
     return found.select("image_id", F.floor(F.col("image_id") / 2).alias("vec_id"), (F.col("image_id") % 2 == 1).alias("edited"), "n_corners", "n_links", "component_id")
+
+
+@query("op11_topk", impact.SQL)
+def op11_topk(spark, sf_dir):
+    return impact.top_k(read(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 50 == 0)
+
+
+@query("op12_collocations", collocations.SQL)
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling", spelling.SQL)
+def op13_spelling(spark, sf_dir):
+    return spelling.variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
