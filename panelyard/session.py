@@ -1,5 +1,6 @@
 """Session settings used by the bench and the tests; a cluster brings its own."""
 
+import gc
 import os
 import tempfile
 import uuid
@@ -67,8 +68,14 @@ def materialize(df):
 
 
 def release(*tables):
-    """Delete tables made by ``materialize`` that nothing will read again."""
+    """Delete tables made by ``materialize`` that nothing will read again.
+
+    Spark drops shuffle files when the driver has collected what refers to them, so a
+    collection is asked for as well.
+    """
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    SparkSession.active()._jvm.System.gc()
