@@ -4,7 +4,7 @@ Texts are cut into pieces at ``. , ; : ! ?`` and line ends, pieces into words. A
 polynomial over the bytes of a block of texts gives every word its fingerprint, a second one
 over the words gives every n-gram its own, so an n-gram costs a few numpy operations and no
 string is built. Tasks add up equal fingerprints before the shuffle; what travels is the
-fingerprint, a second fingerprint from other polynomials, a count and a pointer to one text
+fingerprint, 32 bits of a second one from other polynomials, a count and a pointer to one text
 that holds the n-gram. Lengths are counted one after the other: an n-gram is counted only
 where both its parts one word shorter are frequent, which a bitmap of fixed size tells
 (false hits only cost work). Where the second fingerprints of a group disagree, different
@@ -23,6 +23,7 @@ LEAST = 10              # occurrences of a frequent phrase
 WORDS = 3               # words of the longest candidate
 TOP = 2000              # phrases reported per language
 FILTER_BITS = 27        # bits of the bitmap of frequent fingerprints, as a power of two
+SEGMENT = 17            # bits of a piece of it, as a power of two
 CHUNK = 1 << 20         # bytes hashed at a time
 GATHER = 1 << 20        # entries a task adds up before it hands them on
 SALTS = 64              # first-round groups of a language's ranking
@@ -107,14 +108,14 @@ class Hasher:
             out.append(self.mix((q[at + n] - q[at]) * inverse[at] + salt))
         if self.bits < 64:
             out[0] = out[0] & np.uint64((1 << self.bits) - 1)
-        return at, out[0], out[1]
+        return at, out[0], (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
     def frequent(self, bitmap, fp):
         """Whether the bitmap of ``bitmap_of`` holds both bits of each fingerprint."""
         np = self.np
         hit = np.ones(len(fp), bool)
         for b in (fp >> np.uint64(64 - FILTER_BITS), fp & np.uint64((1 << FILTER_BITS) - 1)):
-            hit &= (bitmap[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+            hit &= (bitmap[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return hit
 
     def chosen(self, follows, symbols, n, lang, bitmap):
@@ -196,7 +197,7 @@ def count_grams(texts, levels, bitmap, bits):
         known = None if bitmap is None else bitmap.value
 
         def out(entries):
-            return pa.RecordBatch.from_arrays([pa.array(entries[0].view(np.int64)), pa.array(entries[1].view(np.int64)),
+            return pa.RecordBatch.from_arrays([pa.array(entries[0].view(np.int64)), pa.array(entries[1]),
                                                pa.array(entries[2]), pa.array(entries[3])], ["fp", "check", "n", "text_no"])
         for batch in batches:
             for lang, raw, offsets, values in blocks(batch, ("copies", "text_no")):
@@ -213,19 +214,33 @@ def count_grams(texts, levels, bitmap, bits):
                         parts, held = [], 0
         if parts:
             yield out(add_up(np, *map(np.concatenate, zip(*parts))))
-    rows = texts.select("text", "lang", "copies", "text_no").mapInArrow(count, "fp long, check long, n long, text_no long")
+    rows = texts.select("text", "lang", "copies", "text_no").mapInArrow(count, "fp long, check int, n long, text_no long")
     return rows.groupBy("fp").agg(F.sum("n").alias("f"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.max("text_no").alias("text_no"))
 
 
 def bitmap_of(spark, fingerprints):
-    """A broadcast bitmap of 2^FILTER_BITS bits with two bits per fingerprint; its size never depends on the data."""
+    """A broadcast bitmap of 2^FILTER_BITS bits with two bits per fingerprint; its size never depends on the data.
+
+    Tasks set the bits of whole segments, so the driver joins 2^FILTER_BITS / 2^SEGMENT pieces of bytes.
+    """
     import numpy as np
+
+    def segments(batches):
+        import numpy as np
+        import pyarrow as pa
+        found = {}
+        for b in batches:
+            bits = b.column(0).to_numpy()
+            for s in np.unique(bits >> SEGMENT).tolist():
+                mine = bits[bits >> SEGMENT == s] & ((1 << SEGMENT) - 1)
+                piece = found.setdefault(s, np.zeros(1 << (SEGMENT - 3), np.uint8))
+                np.bitwise_or.at(piece, mine >> 3, (1 << (mine & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([v.tobytes() for v in found.values()], pa.binary())], ["segment", "bits"])
     two = fingerprints.select(F.explode(F.array(F.shiftrightunsigned("fp", 64 - FILTER_BITS), F.col("fp").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)))).alias("b"))
-    cells = (two.groupBy(F.shiftright("b", 6).alias("cell"))
-             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toPandas())
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bitmap[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
-    return spark.sparkContext.broadcast(bitmap)
+    bitmap = np.zeros((1 << (FILTER_BITS - SEGMENT), 1 << (SEGMENT - 3)), np.uint8)
+    for r in two.repartition(F.shiftright("b", SEGMENT)).mapInArrow(segments, "segment long, bits binary").toLocalIterator():
+        bitmap[r["segment"]] |= np.frombuffer(r["bits"], np.uint8)
+    return spark.sparkContext.broadcast(bitmap.ravel())
 
 
 def phrases_at(texts, wanted, bits, longest):
@@ -308,6 +323,7 @@ def frequent_phrases(docs, longest=WORDS, least=LEAST, bits=64):
     for n in range(1, longest + 1):
         levels = (0, 1) if n == 1 else (n,)
         counts = materialize(count_grams(texts, levels, bitmap, bits).filter(F.col("f") >= least))
+        release()
         met = counts.filter("lo <> hi")
         if met.limit(1).count():
             parts.append(recount(spark, texts, met, levels, bitmap, bits).filter(F.col("f") >= least))
