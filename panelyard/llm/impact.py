@@ -9,9 +9,9 @@ no impact is negative: the sum so far is a lower bound, and a dimension not yet
 most the present impact. The best exact scores of earlier blocks are carried on, so later
 blocks stop sooner.
 
-Queries are a stated set and meet all blocks: a query block goes to every group of vector
-blocks, a task holds one query block and a few vector blocks at a time, and a query leaves a
-group with k rows.
+Queries are a stated set and meet all blocks: parts of about ``QUERIES`` queries are paired with
+groups of vector blocks, a task holds one part and one vector block at a time, and a query
+leaves a group with k rows.
 """
 
 import pyspark.sql.functions as F
@@ -20,13 +20,14 @@ from pyspark.sql import Window
 from ..session import materialize, release
 from .common import batch_rows
 
-BLOCK = 4096            # vectors of a block on average
-GROUP = 32              # vector blocks that a query block meets in one task
+BLOCK = 8192            # vectors of a block on average
+GROUP = 2               # vector blocks that a part of the queries meets one after the other
+QUERIES = 512           # queries of a part on average
 STEP = 8                # values of one level
-ROUNDS = 24             # cuts of the impact range after which the bound is tried
-FEW = 64                # so many possible members are scored exactly without another round
+ROUNDS = (0.2, 0.1, 0.0)    # shares of the impact range at which the bound is tried
+FEW = 512               # so many possible members are scored exactly without another round
 LIMIT = 1 << 24         # components beyond are cut to it, so that a score fits a long
-UNIT = 1 << 46          # counts dimensions in the upper bits of a sum
+UNITS = (("int32", 24), ("int64", 46))      # a sum and, in its upper bits, the dimensions seen
 INDEX = "block long, ids array<long>, asks array<boolean>, dims int, vectors binary, postings binary"
 
 
@@ -65,9 +66,10 @@ class Block:
 
     def __init__(self, np, ids, dims, vectors, postings):
         self.np, self.ids = np, ids
-        self.x = np.frombuffer(vectors, np.int32).reshape(len(ids), dims).astype(np.int64)
+        self.x = np.frombuffer(vectors, np.int32).reshape(len(ids), dims)
         self.order = np.frombuffer(postings, np.int32).reshape(dims, len(ids))
-        self.values = np.take_along_axis(self.x.T, self.order, axis=1)
+        self.values = np.take_along_axis(self.x.T, self.order, axis=1).astype(np.int64)
+        self.x = self.x.astype(np.int64)
         self.levels = []        # per dimension: starts of its levels, then the end; the least and the greatest value of each
         for v in self.values:
             level = v // STEP
@@ -85,33 +87,40 @@ class Block:
             c, v, (_, low, high) = int(q[d]), self.values[d], self.levels[d]
             a, b = sorted((c * int(v[0]), c * int(v[-1])))
             dims.append((d, c, a, b - a, (c * high if c > 0 else c * low) - a))
-        base, top = sum(x[2] for x in dims), max((x[3] for x in dims), default=0)
-        if size <= max(FEW, k) or not dims or sum(x[3] for x in dims) >= UNIT:
+        kind, bits = UNITS[sum(x[3] for x in dims) >= 1 << 24 or len(dims) > 127]
+        if size <= max(FEW, k) or not dims or sum(x[3] for x in dims) >= 1 << bits:
             return np.arange(size), 0
-        seen, done, read = np.zeros(size, np.int64), [0] * len(dims), 0     # impact so far, and UNIT for each dimension seen
-        for turn in range(1, ROUNDS + 1):
-            bound, rest, large = top * (ROUNDS - turn) // ROUNDS, 0, 0
-            for i, (d, c, least, spread, impact) in enumerate(dims):
+        base, top = sum(x[2] for x in dims), max(x[3] for x in dims)
+        bounds = np.array([int(top * r) for r in ROUNDS])
+        # levels due at each bound: those of a greater impact
+        due = [len(x[4]) - np.searchsorted(np.sort(x[4]), bounds, "right") for x in dims]
+        seen, done, read = np.zeros(size, kind), [0] * len(dims), 0     # impact so far; above ``bits``, the dimensions seen
+        for turn, bound in enumerate(bounds.tolist()):
+            rest, large = 0, 0
+            for i, (d, c, least, spread, _) in enumerate(dims):
                 if spread <= bound:
                     rest += spread
                     continue
                 large += 1
-                due = int((impact > bound).sum())
-                if due > done[i]:
+                now = int(due[i][turn])
+                if now > done[i]:
                     starts = self.levels[d][0]
-                    a, b = (starts[-1 - due], starts[-1 - done[i]]) if c > 0 else (starts[done[i]], starts[due])
-                    seen[self.order[d, a:b]] += c * self.values[d, a:b] + (UNIT - least)
-                    read, done[i] = read + int(b - a), due
-            sure = (seen & (UNIT - 1)) + base
-            reach = sure + bound * (large - (seen >> 46)) + rest
+                    a, b = (starts[-1 - now], starts[-1 - done[i]]) if c > 0 else (starts[done[i]], starts[now])
+                    step = self.values[d, a:b].astype(kind)
+                    step *= c
+                    step += (1 << bits) - least
+                    seen[self.order[d, a:b]] += step
+                    read, done[i] = read + int(b - a), now
+            sure = (seen & ((1 << bits) - 1)).astype(np.int64) + base
+            reach = sure + bound * (large - (seen >> bits)) + rest
             limit = int(np.partition(sure, size - k)[size - k])
             left = np.flatnonzero(reach >= (limit if floor is None else max(limit, floor)))
             if len(left) <= max(FEW, k):
-                return left, read
+                break
         return left, read
 
 
-def search(index, k, blocks):
+def search(index, k, blocks, queries):
     """(query_id, query_block, query_at, vec_id, score): the best of each query in each group of blocks, at least k where there are as many."""
     def ask(batches):
         import numpy as np
@@ -127,38 +136,43 @@ def search(index, k, blocks):
     def answer(batches):
         import numpy as np
         import pyarrow as pa
-        now, best = None, []
+        now, asked, best = None, [], []
 
-        def out(key):
-            ats, ids = key[2].as_py(), key[3].as_py()
-            flat = [(ids[i], key[1], ats[i], v, s) for i, rows in enumerate(best) for s, _, v in rows]
+        def out():
+            flat = [(i, home, at, v, s) for (i, home, at, _), rows in zip(asked, best) for s, _, v in rows]
             cols = list(zip(*flat)) or [()] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))],
                                               ["query_id", "query_block", "query_at", "vec_id", "score"])
         for b in batches:
             for row in zip(*b.columns):
-                group, qblock = row[0].as_py(), row[1].as_py()
-                if now is None or now[:2] != (group, qblock):
+                pair = (row[0].as_py(), row[1].as_py())
+                if now != pair:
                     if now is not None:
-                        yield out(now)
-                    now, best = (group, qblock, row[2], row[3]), [[] for _ in range(len(row[2]))]
-                    q, ats = np.frombuffer(row[4].as_py(), np.int32).reshape(len(best), -1).astype(np.int64), row[2].as_py()
-                home = row[5].as_py()
-                block = Block(np, row[6].as_py(), row[7].as_py(), row[8].as_py(), row[9].as_py())
-                shared = min(q.shape[1], block.x.shape[1])
-                for i, rows in enumerate(best):
+                        yield out()
+                    now, asked = pair, []
+                    for part in row[2].as_py():
+                        x = np.frombuffer(part["queries"], np.int32).reshape(len(part["ats"]), -1).astype(np.int64)
+                        asked += [(i, part["query_block"], at, x[n]) for n, (i, at) in enumerate(zip(part["query_ids"], part["ats"]))]
+                    best = [[] for _ in asked]
+                here = row[3].as_py()
+                block = Block(np, row[4].as_py(), row[5].as_py(), row[6].as_py(), row[7].as_py())
+                for n, (_, home, at, q) in enumerate(asked):
+                    rows, own = best[n], home == here
                     # one more in the home block, as the query's own row is no answer
-                    left, _ = block.possible(q[i], k + (home == qblock), rows[-1][0] if len(rows) == k and home != qblock else None)
-                    scores = block.x[left, :shared] @ q[i, :shared]
-                    ranked = [(s, block.ids[j] is None, block.ids[j]) for s, j in zip(scores.tolist(), left.tolist()) if home != qblock or j != ats[i]]
-                    best[i] = sorted(rows + ranked, key=lambda r: (-r[0], r[1], r[2] or 0))[:k]
+                    left, _ = block.possible(q, k + own, rows[-1][0] if len(rows) == k and not own else None)
+                    shared = min(len(q), block.x.shape[1])
+                    scores = block.x[left, :shared] @ q[:shared]
+                    ranked = [(s, block.ids[j] is None, block.ids[j]) for s, j in zip(scores.tolist(), left.tolist()) if not own or j != at]
+                    best[n] = sorted(rows + ranked, key=lambda r: (-r[0], r[1], r[2] or 0))[:k]
         if now is not None:
-            yield out(now)
-    groups = -(-blocks // GROUP)
+            yield out()
+    groups, parts = -(-blocks // GROUP), max(1, -(-queries // QUERIES))
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = (index.select("block", "ids", "asks", "dims", "vectors").mapInArrow(ask, "query_block long, ats array<int>, query_ids array<long>, queries binary")
-             .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))
-    held = index.select((F.col("block") % groups).cast("int").alias("g"), "block", "ids", "dims", "vectors", "postings")
-    met = asked.join(held.hint("merge"), "g").select("g", "query_block", "ats", "query_ids", "queries", "block", "ids", "dims", "vectors", "postings")
+             .groupBy((F.col("query_block") % parts).cast("int").alias("part")).agg(F.collect_list(F.struct("query_block", "ats", "query_ids", "queries")).alias("asked"))
+             .withColumn("g", number(groups)))
+    held = index.select((F.col("block") % groups).cast("int").alias("g"), "block", "ids", "dims", "vectors", "postings").withColumn("part", number(parts))
+    met = asked.join(held.hint("merge"), ["g", "part"]).select("g", "part", "asked", "block", "ids", "dims", "vectors", "postings")
     return met.mapInArrow(answer, "query_id long, query_block long, query_at int, vec_id long, score long")
 
 
@@ -174,10 +188,11 @@ def top_k(table, k, asks, key="vec_id", vector="embedding"):
     """
     spark = table.sparkSession
     rows = table.select(F.col(key).cast("long").alias("id"), F.coalesce(asks, F.lit(False)).alias("asks"), integer_vectors(vector).alias("v")).filter("v IS NOT NULL")
-    blocks = max(1, -(-rows.count() // BLOCK))
+    n, queries = rows.agg(F.count("*"), F.count_if("asks")).first()
+    blocks = max(1, -(-n // BLOCK))
     index = build_index(rows, blocks)
     with batch_rows(spark, 4):
-        found = materialize(search(index, k, blocks))
+        found = materialize(search(index, k, blocks, queries))
     release(index)
     order = Window.partitionBy("query_block", "query_at").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
