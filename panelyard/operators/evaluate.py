@@ -7,6 +7,7 @@ from pyspark.sql import functions as F, Window
 from ..functions.columns import safe_div
 from ..functions.rolling import correlation, forward_return
 from ..functions.sections import DEFAULT_SPLITS, quantiles, with_avg_rank, _small
+from ..session import materialize
 
 MIN_SECTION = 10
 
@@ -170,33 +171,42 @@ def tear_sheet(df, factor, ret, n=5, periods=252, splits=DEFAULT_SPLITS, min_obs
 
 
 def bootstrap_verdict(series, n_boot=1000, block=5, seed=42):
-    """Is the mean coefficient real? Circular block resampling of the series per factor.
+    """Is the mean coefficient real? Block resampling of the series per factor.
 
-    series: factor, date, ic. A factor's series has one value per date, so it travels as
-    one array; replicates are rows, spread over the cluster. Block starts come from a
-    hash of (seed, replicate, position), so a lost task draws the same sample again.
+    series: factor, date, ic. A replicate is a number of draws, and a draw only needs the sum
+    and the sum of squares of the block it hits, so draws are rows that meet a table of block
+    sums and are added up by partial aggregation; no series is gathered. The block a draw hits
+    comes from the MD5 of (seed, factor, replicate, draw), so a lost task draws the same
+    sample again. The last draw of a replicate is cut to the length of the series.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("date", "ic"))), lambda s: s["ic"])
     one = series.groupBy("factor").agg(
-        ordered.alias("_v"), F.count(F.lit(1)).alias("n_dates"), F.avg("ic").alias("ic_mean"), F.stddev_pop("ic").alias("_sd"),
+        F.count(F.lit(1)).alias("n_dates"), F.avg("ic").alias("ic_mean"), F.stddev_pop("ic").alias("_sd"),
         F.avg(F.when(F.col("ic") > 0, 1.0).otherwise(0.0)).alias("positive_ratio"))
-    one = one.withColumn("ic_ir", F.coalesce(safe_div("ic_mean", "_sd"), F.lit(0.0)))
-    centred = F.transform("_v", lambda v: v - F.col("ic_mean"))
-    ring = F.concat(centred, F.slice(centred, 1, block - 1))
-    reps = (one.where((F.col("n_dates") >= 20) & (F.col("_sd") > 0))
-            .select("factor", "n_dates", ring.alias("_ring"), (F.abs("ic_mean") / F.col("_sd")).alias("_seen"),
-                    F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("_rep"))
-            .repartition("factor", "_rep"))
-    blocks = F.sequence(F.lit(1), F.ceil(F.col("n_dates") / block).cast("int"))
-    start = lambda k: F.pmod(F.xxhash64(F.lit(seed), "factor", "_rep", k), F.col("n_dates") - block + 1).cast("int") + 1
-    drawn = F.slice(F.flatten(F.transform(blocks, lambda k: F.slice("_ring", start(k), block))), 1, F.col("n_dates").cast("int"))
-    reps = reps.withColumn("_s", drawn)
-    total = lambda f: F.aggregate("_s", F.lit(0.0), lambda a, v: a + f(v))
-    reps = reps.withColumn("_m", total(lambda v: v) / F.col("n_dates"))
-    reps = reps.withColumn("_d", F.sqrt(total(lambda v: (v - F.col("_m")) * (v - F.col("_m"))) / F.col("n_dates")))
+    one = materialize(one.withColumn("ic_ir", F.coalesce(safe_div("ic_mean", "_sd"), F.lit(0.0))))
+    tested = one.where((F.col("n_dates") >= 20) & (F.col("_sd") > 0)).withColumn("_draws", F.ceil(F.col("n_dates") / block))
+    left = F.col("n_dates") - (F.col("_draws") - 1) * block        # values of the last draw
+    by_date = Window.partitionBy("factor").orderBy("date")
+    value = (series.join(tested.select("factor", "ic_mean", "n_dates", left.alias("_left")), "factor")
+             .select("factor", "date", (F.col("ic") - F.col("ic_mean")).alias("_v"), "n_dates", "_left"))
+    ahead = [F.lead("_v", j).over(by_date) for j in range(block)]
+    value = value.select("factor", "n_dates", "_left", (F.row_number().over(by_date) - 1).alias("_start"), F.array("_v", *ahead[1:]).alias("_w"))
+    total = lambda f, n: F.aggregate(F.slice("_w", F.lit(1), n), F.lit(0.0), lambda a, v: a + f(v))
+    sums = value.where(F.col("_start") <= F.col("n_dates") - block)
+    sums = sums.select("factor", "_start", *[total(f, n).alias(k) for k, f, n in (
+        ("_s", lambda v: v, F.lit(block)), ("_q", lambda v: v * v, F.lit(block)),
+        ("_sl", lambda v: v, F.col("_left").cast("int")), ("_ql", lambda v: v * v, F.col("_left").cast("int")))])
+    draws = (tested.select("factor", "n_dates", "_draws", (F.abs("ic_mean") / F.col("_sd")).alias("_seen"), F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("_rep"))
+             .repartition("factor", "_rep").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_draws").cast("int")))))
+    word = F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), "factor", "_rep", "_k")), 1, 8)
+    draws = draws.withColumn("_start", F.pmod(F.conv(word, 16, 10).cast("long"), F.col("n_dates") - block + 1).cast("int"))
+    is_last = F.col("_k") == F.col("_draws")
+    reps = (draws.join(sums, ["factor", "_start"]).groupBy("factor", "_rep", "n_dates", "_seen")
+            .agg(F.sum(F.when(is_last, F.col("_sl")).otherwise(F.col("_s"))).alias("_m"), F.sum(F.when(is_last, F.col("_ql")).otherwise(F.col("_q"))).alias("_d")))
+    reps = reps.withColumn("_m", F.col("_m") / F.col("n_dates"))
+    reps = reps.withColumn("_d", F.sqrt(F.greatest(F.col("_d") / F.col("n_dates") - F.col("_m") * F.col("_m"), F.lit(0.0))))
     hit = F.abs(safe_div("_m", "_d")) >= F.col("_seen")
     p = reps.groupBy("factor").agg((F.count(F.when(hit, 1)) / F.lit(float(n_boot))).alias("bootstrap_p"))
-    out = one.drop("_v", "_sd").join(p, "factor", "left").withColumn("bootstrap_p", F.coalesce("bootstrap_p", F.lit(1.0)))
+    out = one.drop("_sd").join(p, "factor", "left").withColumn("bootstrap_p", F.coalesce("bootstrap_p", F.lit(1.0)))
     strong, fair = F.abs("ic_ir") > 0.5, F.abs("ic_ir") > 0.3
     return out.withColumn("verdict", F.when((F.col("bootstrap_p") < 0.05) & strong, "ACCEPT")
                           .when((F.col("bootstrap_p") < 0.10) | fair, "REVIEW").otherwise("REJECT"))

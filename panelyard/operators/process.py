@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clip, safe_div
 from ..functions.rolling import correlation, fill_forward
 from ..functions.sections import DEFAULT_SPLITS, with_avg_rank, with_medians, with_quantiles, with_stats
+from ..session import materialize
 
 
 def winsorize_mad(df, columns, k=3.0, splits=DEFAULT_SPLITS):
@@ -132,26 +133,36 @@ def correlation_pairs(df, columns):
             .groupBy("a", "b").agg(correlation("x", "y").alias("corr")))
 
 
-def select_uncorrelated(pairs, columns, limit=0.7, strength=None):
-    """Greedy pass over the factors × factors result, the only part on the driver.
+def select_uncorrelated(pairs, factors, limit=0.7):
+    """The factors kept when the weaker of every pair above the limit has to go: one row each (factor, strength, place).
 
-    Of a pair above the limit the factor with the lower strength (|IC_IR|) goes, a tie
-    drops the later one. Without strengths the longer name goes.
+    factors: factor, strength, place (the least wins a tie). The strongest factor stays and takes
+    its correlated ones with it, then the strongest of the rest, and so on. In a round every
+    factor that is stronger than all correlated ones left stays at once; rounds go on until
+    none is left. Everything is a join of small tables, none passes through the driver.
     """
-    high = {(r.a, r.b) for r in pairs.where(F.abs("corr") > limit).collect()}
-    gone = set()
-    for i, a in enumerate(columns):
-        if a in gone:
-            continue
-        for b in columns[i + 1:]:
-            if b in gone or (a, b) not in high:
-                continue
-            a_goes = abs(strength[a]) < abs(strength[b]) if strength else len(b) < len(a)
-            if a_goes:
-                gone.add(a)
-                break
-            gone.add(b)
-    return [c for c in columns if c not in gone]
+    high = pairs.where(F.abs("corr") > limit).select("a", "b")
+    links = materialize(high.union(high.select("b", "a")))
+    left, kept = materialize(factors.select("factor", F.coalesce("strength", F.lit(0.0)).alias("strength"), "place")), None
+    while left.limit(1).count():
+        other = left.select(F.col("factor").alias("b"), F.struct(F.col("strength"), -F.col("place")).alias("_other"))
+        near = links.join(left.select(F.col("factor").alias("a"), F.struct(F.col("strength"), -F.col("place")).alias("_own")), "a").join(other, "b")
+        beaten = near.where("_other > _own").select(F.col("a").alias("factor")).distinct()
+        stay = materialize(left.join(beaten, "factor", "left_anti"))
+        kept = stay if kept is None else kept.unionByName(stay)
+        gone = links.join(stay.select(F.col("factor").alias("a")), "a").select(F.col("b").alias("factor")).distinct()
+        left = materialize(left.join(stay, "factor", "left_anti").join(gone, "factor", "left_anti"))
+    return kept if kept is not None else left
+
+
+def factor_strengths(columns, stats=None, spark=None):
+    """factor, strength, place of the columns: |IC_IR| from ``stats`` (factor, ic_ir), or the shorter name as the stronger one."""
+    if stats is None:
+        names = F.explode(F.array(*[F.struct(F.lit(c).alias("factor"), F.lit(-float(len(c))).alias("strength"), F.lit(i).alias("place")) for i, c in enumerate(columns)]))
+        return spark.range(1).select(names.alias("_f")).select("_f.*")
+    listed = stats.where(F.col("factor").isin(*columns)).groupBy("factor").agg(F.max(F.abs("ic_ir")).alias("strength"))
+    place = F.element_at(F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))]), F.col("factor"))
+    return listed.withColumn("place", place)
 
 
 def fuse(df, columns, stats=None, splits=DEFAULT_SPLITS, out="alpha_score"):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import rolling as R
 from ..functions.columns import log_pos
 from ..operators import evaluate as E, process as P
+from ..session import materialize
 from .factor_queries import out as outs, over, pct, rank_sql, roll, stage
 from .registry import query
 from .tables import INDUSTRY, WEEKLY, industries, report, weekly_bars, weekly_splits
@@ -187,7 +188,16 @@ def ic_lag_scan(spark, sf_dir):
     return report(scan(spark, sf_dir), ["lag", "n_dates"], STATS)
 
 
-query("ic_lag_p_values")(lambda spark, sf_dir: report(scan(spark, sf_dir), ["lag"], ["t_stat", "p_value"]))
+# two-sided t probability for a whole number of degrees of freedom: finite sums of powers of a cosine
+_T_SUM = """CASE WHEN nu % 2 = 0 THEN sin(th) * coalesce(list_sum(list_transform(range(0, nu // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1.0)) * pow(cos(th), 2 * j))), 0)
+ ELSE 2 / pi() * (th + sin(th) * coalesce(list_sum(list_transform(range(0, (nu - 1) // 2), lambda j: 0.5 * sqrt(pi()) * exp(lgamma(j + 1.0) - lgamma(j + 1.5)) * pow(cos(th), 2 * j + 1))), 0)) END"""
+
+
+@query("ic_lag_p_values", f"""WITH {SCAN_SQL}, st AS (SELECT lag, count(*) - 1 AS nu, coalesce(avg(ic) * sqrt(count(*)) / nullif(stddev_samp(ic), 0), 0) AS t_stat FROM ics GROUP BY lag HAVING count(*) >= 5),
+ an AS (SELECT *, atan(abs(t_stat) / sqrt(nu)) AS th FROM st)
+SELECT CAST(lag AS INTEGER) AS lag, round(t_stat, 6) + 0.0 AS t_stat, round(1 - ({_T_SUM}), 6) + 0.0 AS p_value FROM an""")
+def ic_lag_p_values(spark, sf_dir):
+    return report(scan(spark, sf_dir), ["lag"], ["t_stat", "p_value"])
 
 
 @query("ic_half_life", f"""WITH {SCAN_SQL}, st AS (SELECT lag, avg(ic) AS m FROM ics GROUP BY lag HAVING count(*) >= 5),
@@ -206,15 +216,19 @@ def factor_correlation(spark, sf_dir):
     return report(P.correlation_pairs(factor_panel(spark, sf_dir), FACTORS), ["a", "b"], ["corr"])
 
 
-@query("correlation_filter", f"""WITH {FP}, dm AS (SELECT date, avg(reversal_5d) AS a, avg(reversal_20d) AS b FROM fp GROUP BY date),
- {ic_union('pearson', ['reversal_5d', 'reversal_20d'], ['ret_forward_5d'])}, ir AS (SELECT factor, abs(avg(ic) / stddev_samp(ic)) AS s FROM ics GROUP BY factor)
-SELECT factor AS kept FROM ir WHERE (SELECT abs(corr(a, b)) FROM dm) <= 0.3 OR s = (SELECT max(s) FROM ir)""")
+_CORR = "dm AS (SELECT date, " + ", ".join(f"avg({f}) AS {f}" for f in FACTORS) + " FROM fp GROUP BY date), hi AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b FROM dm HAVING abs(corr({a}, {b})) > 0.1" for a in FACTORS for b in FACTORS if a != b) + ")"
+
+
+@query("correlation_filter", f"""WITH RECURSIVE {FP}, {_CORR}, {ic_union('pearson', rets=['ret_forward_5d'])},
+ ir AS (SELECT factor, row_number() OVER (ORDER BY abs(avg(ic) / stddev_samp(ic)) DESC, list_position([{', '.join(f"'{f}'" for f in FACTORS)}], factor)) AS k FROM ics GROUP BY factor),
+ pick AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS kept UNION ALL SELECT ir.k, CASE WHEN EXISTS (SELECT 1 FROM hi WHERE hi.a = ir.factor AND list_contains(pick.kept, hi.b)) THEN pick.kept ELSE list_append(pick.kept, ir.factor) END
+  FROM pick JOIN ir ON ir.k = pick.k + 1)
+SELECT unnest(kept) AS kept FROM (SELECT kept FROM pick ORDER BY k DESC LIMIT 1)""")
 def correlation_filter(spark, sf_dir):
-    names = ["reversal_5d", "reversal_20d"]
-    df = factor_panel(spark, sf_dir)
-    ir = {r.factor: r.ic_ir for r in E.ic_matrix(df, names, ["ret_forward_5d"]).collect()}   # one row per factor
-    kept = P.select_uncorrelated(P.correlation_pairs(df, names), names, 0.3, ir)
-    return spark.createDataFrame([(k,) for k in kept], "kept string")
+    df = materialize(factor_panel(spark, sf_dir).select("code", "date", *FACTORS, "ret_forward_5d"))
+    strengths = P.factor_strengths(FACTORS, E.ic_matrix(df, FACTORS, ["ret_forward_5d"]))
+    return P.select_uncorrelated(P.correlation_pairs(df, FACTORS), strengths, 0.1).select(F.col("factor").alias("kept"))
 
 
 _FUSE = [f"coalesce({rank_sql(f)}, 0.5)" for f in FACTORS]
@@ -306,7 +320,18 @@ def factor_tear_sheet(spark, sf_dir):
     return report(t, ["n_dates", "verdict"], ["ic_mean", "ic_ir", "spread", "mean_ls", "sharpe", "top_turnover"])
 
 
-@query("bootstrap_verdict")
+@query("bootstrap_verdict", f"""WITH {FP}, {ic_union('pearson', rets=['ret_forward_5d'])},
+ one AS (SELECT factor, count(*) AS n, avg(ic) AS m, coalesce(avg(ic) / nullif(stddev_pop(ic), 0), 0) AS ir, stddev_pop(ic) AS sd, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS pos, ceil(count(*) / 5.0)::BIGINT AS draws FROM ics GROUP BY factor),
+ v AS (SELECT factor, n, n - (draws - 1) * 5 AS rest, ic - m AS x, row_number() OVER (PARTITION BY factor ORDER BY date) - 1 AS i FROM ics JOIN one USING (factor)),
+ dr AS (SELECT factor, n, draws, rest, rep, k, CAST('0x' || substr(md5(concat_ws('-', '42', factor, rep, k)), 1, 8) AS BIGINT) % (n - 4) AS start
+  FROM (SELECT factor, n, draws, n - (draws - 1) * 5 AS rest, rep, unnest(range(1, draws + 1)) AS k FROM (SELECT *, unnest(range(1, 1001)) AS rep FROM one WHERE n >= 20 AND sd > 0))),
+ bl AS (SELECT a.factor, a.i AS start, sum(b.x) AS s, sum(b.x * b.x) AS q, sum(b.x) FILTER (b.i < a.i + a.rest) AS sl, sum(b.x * b.x) FILTER (b.i < a.i + a.rest) AS ql
+  FROM v a JOIN v b ON b.factor = a.factor AND b.i BETWEEN a.i AND a.i + 4 GROUP BY 1, 2),
+ rp AS (SELECT factor, rep, sum(CASE WHEN k = draws THEN sl ELSE s END) / any_value(n) AS rm, sum(CASE WHEN k = draws THEN ql ELSE q END) / any_value(n) AS rq FROM dr JOIN bl USING (factor, start) GROUP BY factor, rep),
+ pv AS (SELECT factor, count(*) FILTER (abs(rm / nullif(sqrt(greatest(rq - rm * rm, 0)), 0)) >= abs(m) / sd) / 1000.0 AS p FROM rp JOIN one USING (factor) GROUP BY factor),
+ al AS (SELECT one.*, coalesce(p, 1.0) AS p FROM one LEFT JOIN pv USING (factor))
+SELECT factor, n AS n_dates, CASE WHEN p < 0.05 AND abs(ir) > 0.5 THEN 'ACCEPT' WHEN p < 0.10 OR abs(ir) > 0.3 THEN 'REVIEW' ELSE 'REJECT' END AS verdict,
+ round(m, 6) + 0.0 AS ic_mean, round(ir, 6) + 0.0 AS ic_ir, round(pos, 6) + 0.0 AS positive_ratio, round(p, 6) + 0.0 AS bootstrap_p FROM al""")
 def bootstrap_verdict(spark, sf_dir):
     s = E.ic_matrix_series(factor_panel(spark, sf_dir), FACTORS, ["ret_forward_5d"])
     return report(E.bootstrap_verdict(s.select("factor", "date", "ic")), ["factor", "n_dates", "verdict"], ["ic_mean", "ic_ir", "positive_ratio", "bootstrap_p"])

@@ -190,7 +190,24 @@ _WIL, _ = chain(
     stage("z", "b7", {"stochrsi_d": roll("avg", "stochrsi_k", 3)}))
 query("indicators_wilder", f"WITH {WEEKLY}, {_WIL} " + final(WILDER, places=4))(run(WILDER, 4))
 
-query("indicators_path_dependent")(run(["kama", "sar"], 4))
+_K = "(2.0 / 3 - 2.0 / 31)"
+_PATH = f"""{POS.replace("CAST(row_number() OVER (PARTITION BY code ORDER BY date) AS DOUBLE) AS i", "row_number() OVER (PARTITION BY code ORDER BY date) AS k, count(*) OVER (PARTITION BY code) AS n")},
+ pd AS (SELECT *, abs(close - {lag('close')}) AS step, {lag('high')} AS h1, {lag('low')} AS l1, coalesce({lag('low', 2)}, {lag('low')}) AS l2 FROM numbered),
+ pw AS (SELECT *, pow(CASE WHEN path = 0 THEN 1 ELSE net / path END * {_K} + 2.0 / 31, 2) AS w FROM (SELECT *, sum(step) {over(30)} AS path, abs(close - {lag('close', 30)}) AS net FROM pd)),
+ kc AS (SELECT code, k, close AS kama FROM pw WHERE k = 30 AND n > 30
+  UNION ALL SELECT p.code, p.k, kc.kama + p.w * (p.close - kc.kama) FROM kc JOIN pw p ON p.code = kc.code AND p.k = kc.k + 1),
+ sc AS (SELECT code, k, up, CASE WHEN up THEN l1 ELSE h1 END AS stop, CASE WHEN up THEN high ELSE low END AS extreme, 0.02::DOUBLE AS speed, NULL::DOUBLE AS sar, FALSE AS done
+   FROM (SELECT *, (high - h1) >= (l1 - low) AS up FROM pw WHERE k = 2)
+  UNION ALL SELECT code, k, up2, sar + speed2 * (extreme2 - sar), extreme2, speed2, sar, TRUE FROM (
+   SELECT *, CASE WHEN crossed THEN (CASE WHEN up2 THEN high ELSE low END) WHEN further THEN (CASE WHEN up THEN high ELSE low END) ELSE extreme END AS extreme2,
+     CASE WHEN crossed THEN 0.02 WHEN further THEN least(speed + 0.02, 0.2) ELSE speed END AS speed2,
+     CASE WHEN NOT crossed THEN s1 WHEN up2 THEN least(extreme, low) ELSE greatest(extreme, high) END AS sar FROM (
+    SELECT *, crossed <> up AS up2, CASE WHEN up THEN high > extreme ELSE low < extreme END AS further FROM (
+     SELECT *, CASE WHEN up THEN low < s1 ELSE high > s1 END AS crossed FROM (
+      SELECT p.code, p.k, p.high, p.low, sc.up, sc.extreme, sc.speed, CASE WHEN sc.up THEN least(sc.stop, p.l1, p.l2) ELSE greatest(sc.stop, p.h1, coalesce(p.h2, p.h1)) END AS s1
+      FROM sc JOIN (SELECT *, {lag('high', 2)} AS h2 FROM pw) p ON p.code = sc.code AND p.k = sc.k + CASE WHEN sc.done THEN 1 ELSE 0 END))))),
+ z AS (SELECT pw.code, pw.date, kc.kama, sc.sar FROM pw LEFT JOIN kc ON kc.code = pw.code AND kc.k = pw.k LEFT JOIN sc ON sc.code = pw.code AND sc.k = pw.k AND sc.done)"""
+query("indicators_path_dependent", f"WITH RECURSIVE {WEEKLY}, {_PATH} " + final(["kama", "sar"], places=4))(run(["kama", "sar"], 4))
 
 EXT_R = list(S.EXTENDED)
 _EXTR, _ = chain(

@@ -1,13 +1,17 @@
 """Scan, cleaning and resampling queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions import rolling as R
 from ..functions.columns import change_pct, month_end, normalize_code, week_end
 from ..functions.rolling import lag
 from ..operators import cleaning as C
+from ..session import materialize, shared_folder
 from ..sources import panel as P
 from .registry import query
-from .tables import DAILY, WEEKLY, code_of, daily_bars, report, r_sql, table, weekly_bars
+from .tables import DAILY, INDUSTRY, WEEKLY, code_of, daily_bars, industries, report, r_sql, table, weekly_bars
 
 PRICES = ["open", "high", "low", "close"]
 
@@ -189,3 +193,42 @@ def factor_store_scan(spark, sf_dir):
     long = P.unpivot_factors(wide, names).withColumn("factor_value", F.col("factor_value").cast("string"))
     scanned = P.read_factor_store(long, "1997-01-01", "1999-12-31")
     return report(P.pivot_factors(scanned, names), ["code", "date"], names)
+
+
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("panel_store_windows", f"""WITH {WEEKLY}, st AS (SELECT code, date, close, CASE WHEN year(date) = (SELECT max(year(date)) FROM bars) THEN volume * 2 ELSE volume END AS volume FROM bars),
+ rg AS (SELECT *, close / lag(close) OVER w - 1 AS ret, avg(volume) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS volume_5 FROM st WHERE date >= DATE '1996-06-01' WINDOW w AS (PARTITION BY code ORDER BY date))
+SELECT code, CAST(date AS VARCHAR) AS date, {r_sql('ret')}, {r_sql('volume_5')} FROM rg""")
+def panel_store_windows(spark, sf_dir):
+    """Bars stored once by year and code, the last year replaced, then windows by code over a date range."""
+    bars = materialize(weekly_bars(spark, sf_dir).select("code", "date", "close", "volume"))
+    name = f"store_{uuid.uuid4().hex}"
+    P.write_store(bars, name, _folder(spark, "store"), 8)
+    last = bars.agg(F.max(F.year("date")).alias("_last"))
+    P.update_store(bars.join(F.broadcast(last), F.year("date") == F.col("_last")).drop("_last").withColumn("volume", F.col("volume") * 2), name, 8)
+    df = P.read_store(spark, name, ["code", "date", "close", "volume"], start="1996-06-01")
+    df = df.withColumns({"ret": R.pct_change("close"), "volume_5": R.mean("volume", 5, 1)})
+    return report(df, ["code", "date"], ["ret", "volume_5"])
+
+
+@query("panel_range_read", f"""WITH {WEEKLY} SELECT code, CAST(date AS VARCHAR) AS date, {r_sql('close')} FROM bars WHERE date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'""")
+def panel_range_read(spark, sf_dir):
+    """Bars written by year and read back: two columns, two years, in order of date and code."""
+    path = _folder(spark, "panel")
+    P.write_panel(weekly_bars(spark, sf_dir), path)
+    return P.sorted_output(report(P.read_panel(spark, path, ["code", "date", "close"], "1995-01-01", "1996-12-31"), ["code", "date"], ["close"]), "date", "code")
+
+
+@query("side_table_json", f"""WITH {WEEKLY}, {INDUSTRY} SELECT industry, CAST(count(DISTINCT code) AS BIGINT) AS n_codes, {r_sql('avg(close)', 'mean_close')} FROM bars JOIN ind USING (code) GROUP BY industry""")
+def side_table_json(spark, sf_dir):
+    """A side table written as JSON and joined to the bars."""
+    path = _folder(spark, "side")
+    P.write_json(industries(spark, sf_dir), path)
+    side = spark.read.schema("code string, industry string").json(path)
+    parquet = _folder(spark, "side")
+    side.write.parquet(parquet)
+    joined = weekly_bars(spark, sf_dir).join(P.read_side_table(spark, parquet, side.schema), "code")
+    return report(joined.groupBy("industry").agg(F.countDistinct("code").alias("n_codes"), F.avg("close").alias("mean_close")), ["industry", "n_codes"], ["mean_close"])

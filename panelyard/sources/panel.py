@@ -108,6 +108,52 @@ def write_panel(df, path, mode="overwrite"):
      .write.mode(mode).partitionBy("year").parquet(path))
 
 
+BUCKETS = 64
+
+
+def write_store(df, name, path, buckets=BUCKETS):
+    """A panel as table ``name``: partitioned by year, bucketed by code, sorted by date within a code.
+
+    Windows by code over the table need no exchange, and date ranges read only their years.
+    ``path`` holds the files; the table can be opened again from there (``open_store``).
+    """
+    (df.withColumn("year", F.year("date")).repartition(buckets, "code").sortWithinPartitions("year", "code", "date")
+     .write.mode("overwrite").partitionBy("year").bucketBy(buckets, "code").sortBy("code", "date").option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
+def open_store(spark, name, path, buckets=BUCKETS):
+    """Register the files of ``write_store`` as table ``name`` in a session that does not know them."""
+    fields = [f for f in spark.read.parquet(path).schema.fields if f.name != "year"]
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    spark.sql(f"CREATE TABLE {name} ({columns}, year INT) USING parquet PARTITIONED BY (year) CLUSTERED BY (code) SORTED BY (code, date) INTO {buckets} BUCKETS LOCATION '{path}'")
+    spark.catalog.recoverPartitions(name)
+    return spark.table(name)
+
+
+def update_store(df, name, buckets=BUCKETS):
+    """Replace the years that occur in ``df``; other years stay as they are."""
+    table = df.sparkSession.table(name)
+    rows = df.withColumn("year", F.year("date")).select(*table.columns).repartition(buckets, "code").sortWithinPartitions("year", "code", "date")
+    conf, key = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(key)
+    conf.set(key, "dynamic")        # insertInto does not take it as an option
+    try:
+        rows.write.mode("overwrite").insertInto(name)
+    finally:
+        conf.set(key, before)
+
+
+def read_store(spark, name, columns=None, start=None, end=None):
+    """Rows of a store in a date range; the range is passed on to its years."""
+    df = spark.table(name)
+    for bound, keep in ((start, lambda c, v: c >= v), (end, lambda c, v: c <= v)):
+        if bound is not None:
+            day = F.lit(bound).cast("date")
+            df = df.where(keep(F.col("date"), day) & keep(F.col("year"), F.year(day)))
+    return df.select(*columns) if columns else df.drop("year")
+
+
 def write_json(df, path, mode="overwrite"):
     df.write.mode(mode).json(path)
 

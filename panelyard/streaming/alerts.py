@@ -7,10 +7,15 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 
 def rate_alerts(orders, limit=5, window="1 second", slide=None, time_column="ts", watermark="10 seconds", by=()):
-    """Windows with more than ``limit`` orders. Hot windows are counted map-side first."""
+    """Windows with more than ``limit`` orders. Hot windows are counted map-side first.
+
+    ``watermark`` is how late an order may arrive; windows older than that leave the state and
+    their later orders are not counted. None counts every order and keeps every window.
+    """
     span = F.window(time_column, window, slide) if slide else F.window(time_column, window)
     timed = orders.withColumn(time_column, F.col(time_column).cast("timestamp"))
-    counted = timed.withWatermark(time_column, watermark).groupBy(span, *by).agg(F.count(F.lit(1)).alias("orders"))
+    timed = timed.withWatermark(time_column, watermark) if watermark else timed
+    counted = timed.groupBy(span, *by).agg(F.count(F.lit(1)).alias("orders"))
     return counted.where(F.col("orders") > limit).select(F.col("window.start").alias("start"), *by, "orders")
 
 
@@ -20,17 +25,18 @@ class Breaker(StatefulProcessor):
     Trips when the day's return falls below -limit, or when the last ``span`` checked
     returns, at least ``least`` of them, compound below -limit. Recovers when the day's or
     the compounded return reaches ``recover``; the row is then checked again. A return is
-    remembered only when its own check did not trip.
+    remembered only when its own check did not trip. Returns may arrive in any order: a late
+    one is checked at its date, and the checks after it are made and reported again. ``keep``
+    bounds the dates remembered per account; a return before them starts afresh.
     """
 
-    def __init__(self, limit=0.05, recover=0.0, span=5, least=3):
+    def __init__(self, limit=0.05, recover=0.0, span=5, least=3, keep=None):
         if recover <= -limit:
             raise ValueError("recover must exceed -limit, or there is no hysteresis")
-        self.limit, self.recover, self.span, self.least = limit, recover, span, least
+        self.limit, self.recover, self.span, self.least, self.keep = limit, recover, span, least, keep
 
     def init(self, handle):
-        self.flag = handle.getValueState("tripped", "tripped boolean")
-        self.recent = handle.getListState("returns", "ret double")
+        self.checks = handle.getMapState("checks", "date date", "ret double, tripped boolean, recent array<double>")
 
     def step(self, tripped, recent, ret):
         """(tripped, recent, reason) after one return."""
@@ -45,18 +51,26 @@ class Breaker(StatefulProcessor):
         return False, recent, "recovered" if tripped else ""
 
     def handleInputRows(self, key, rows, timerValues):
-        tripped = bool(self.flag.get()[0]) if self.flag.exists() else False
-        recent = [r[0] for r in self.recent.get()] if self.recent.exists() else []
-        batch = pd.concat(list(rows)).sort_values("date", kind="stable")
-        flags, reasons = [], []
-        for now, start in zip(batch["current_nav"], batch["start_nav"]):
-            ret = (now - start) / start if start > 0 else 0.0
+        fresh = {}
+        for part in rows:
+            for day, now, start in zip(part["date"], part["current_nav"], part["start_nav"]):
+                fresh[day] = float((now - start) / start) if start > 0 else 0.0
+        days = sorted({*(k[0] for k in self.checks.keys()), *fresh})
+        at, tripped, recent = days.index(min(fresh)), False, []
+        if at:
+            ret, tripped, recent = self.checks.getValue((days[at - 1],))
+            tripped, recent, _ = self.step(tripped, list(recent), ret)
+        out = []
+        # every check remembers what it started from, so a late return is checked in its place and all later ones again
+        for day in days[at:]:
+            ret = fresh[day] if day in fresh else self.checks.getValue((day,))[0]
+            self.checks.updateValue((day,), (ret, tripped, [float(r) for r in recent]))
             tripped, recent, why = self.step(tripped, recent, ret)
-            flags.append(not tripped)
-            reasons.append(why)
-        self.flag.update((tripped,))
-        self.recent.put([(float(r),) for r in recent]) if recent else self.recent.clear()
-        yield pd.DataFrame({"account": key[0], "date": batch["date"].to_numpy(), "allowed": flags, "reason": reasons})
+            out.append((key[0], day, not tripped, why))
+        if self.keep is not None:
+            for day in days[:-self.keep]:
+                self.checks.removeKey((day,))
+        yield pd.DataFrame(out, columns=["account", "date", "allowed", "reason"])
 
     def close(self):
         pass
@@ -66,6 +80,6 @@ BREAKER_SCHEMA = "account string, date date, allowed boolean, reason string"
 
 
 def circuit_breaker(navs, **limits):
-    """navs: account, date, start_nav, current_nav; one output row per input row."""
+    """navs: account, date, start_nav, current_nav. One row per check; of several for a date the newest batch counts."""
     return navs.groupBy("account").transformWithStateInPandas(
-        statefulProcessor=Breaker(**limits), outputStructType=BREAKER_SCHEMA, outputMode="append", timeMode="None")
+        statefulProcessor=Breaker(**limits), outputStructType=BREAKER_SCHEMA, outputMode="update", timeMode="None")

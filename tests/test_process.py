@@ -140,8 +140,25 @@ def test_bootstrap_separates_signal_from_noise(spark):
 
 def test_greedy_filter(spark):
     pairs = spark.createDataFrame([("aa", "b", 0.9), ("aa", "c", 0.1), ("b", "c", -0.8)], "a string, b string, corr double")
-    assert P.select_uncorrelated(pairs, ["aa", "b", "c"], 0.7) == ["b"]                      # longer name goes, tie drops the later
-    assert P.select_uncorrelated(pairs, ["aa", "b", "c"], 0.7, {"aa": 0.5, "b": 0.4, "c": 0.1}) == ["aa", "c"]
+    kept = lambda strengths: sorted(r.factor for r in P.select_uncorrelated(pairs, strengths, 0.7).collect())
+    stats = lambda **s: P.factor_strengths(["aa", "b", "c"], spark.createDataFrame(list(s.items()), "factor string, ic_ir double"))
+    assert kept(P.factor_strengths(["aa", "b", "c"], spark=spark)) == ["b"]                  # longer name goes, a tie drops the later
+    assert kept(stats(aa=0.5, b=0.4, c=-0.1)) == ["aa", "c"]
+    assert kept(stats(aa=0.4, b=0.4, c=0.4)) == ["aa", "c"]
+
+
+def test_filter_by_rounds_equals_one_after_the_other(spark):
+    rng = np.random.default_rng(12)
+    names = [f"f{i}" for i in range(30)]
+    high = {(a, b) for i, a in enumerate(names) for b in names[i + 1:] if rng.random() < 0.12}
+    strength = {n: float(rng.integers(0, 12)) for n in names}
+    pairs = spark.createDataFrame([(a, b, 0.9 if (a, b) in high else 0.0) for i, a in enumerate(names) for b in names[i + 1:]], "a string, b string, corr double")
+    want = []
+    for n in sorted(names, key=lambda n: (-strength[n], names.index(n))):
+        if not any((n, k) in high or (k, n) in high for k in want):
+            want.append(n)
+    table = P.factor_strengths(names, spark.createDataFrame(list(strength.items()), "factor string, ic_ir double"))
+    assert sorted(r.factor for r in P.select_uncorrelated(pairs, table).collect()) == sorted(want)
 
 
 def test_steps_check_columns(panel):

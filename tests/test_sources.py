@@ -22,6 +22,21 @@ def test_panel_roundtrip_prunes_columns_and_dates(spark, panel, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 3
 
 
+def test_store_windows_need_no_exchange(spark, panel, tmp_path):
+    rows = panel.select("code", "date", "close", "volume")
+    rows = rows.union(rows.withColumn("date", F.date_sub("date", 366)))
+    P.write_store(rows, "t_store", str(tmp_path / "s"), 4)
+    P.update_store(rows.where("year(date) = 2024").withColumn("volume", F.lit(1.0)), "t_store", 4)
+    spark.sql("DROP TABLE t_store")                     # an external table: its files stay
+    P.open_store(spark, "t_store", str(tmp_path / "s"), 4)
+    df = P.read_store(spark, "t_store", ["code", "date", "close", "volume"], "2024-02-01").withColumn("before", P.lag("close"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" in plan and "PartitionFilters: [isnotnull(year" in plan
+    assert df.where("volume <> 1").count() == 0 and df.count() == rows.where("date >= '2024-02-01'").count()
+    assert P.read_store(spark, "t_store", end="2023-12-31").where("volume <> 1").count() == rows.where("date < '2024-01-01' and volume <> 1").count() > 0
+    spark.sql("DROP TABLE t_store")
+
+
 def test_csv_and_side_table(spark, panel, tmp_path):
     panel.select(*[f.name for f in P.PANEL.fields]).write.csv(str(tmp_path / "c"), header=True)
     assert P.read_csv_panel(spark, str(tmp_path / "c")).dtypes == [(f.name, f.dataType.simpleString()) for f in P.PANEL.fields]
