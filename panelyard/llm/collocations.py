@@ -244,8 +244,8 @@ def bitmap_of(spark, fingerprints):
 
 
 def phrases_at(texts, wanted, bits, longest):
-    """(lang, phrase, f) of the fingerprints ``wanted`` (fp, f, text_no), read from the text each points to."""
-    per_text = wanted.groupBy("text_no").agg(F.collect_list("fp").alias("fps"), F.collect_list("f").alias("fs"))
+    """(lang, phrase, f) of the fingerprints ``wanted`` (fp, check, f, text_no), read from the text each points to."""
+    per_text = wanted.groupBy("text_no").agg(F.collect_list("fp").alias("fps"), F.collect_list("check").alias("checks"), F.collect_list("f").alias("fs"))
 
     def read(batches):
         import numpy as np
@@ -253,9 +253,11 @@ def phrases_at(texts, wanted, bits, longest):
         hasher = Hasher(bits)
         for batch in batches:
             row = pa.array(np.arange(batch.num_rows))
-            fps, fs = batch.column(2), batch.column(3)
+            fps, checks, fs = (batch.column(k) for k in (2, 3, 4))
             sizes = np.diff(fps.offsets.to_numpy())
-            want, owner, counts = fps.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(sizes)), sizes), fs.flatten().to_numpy()
+            both = lambda fp, check: hasher.mix(fp ^ (check.view(np.uint32).astype(np.uint64) << np.uint64(32)))
+            want = both(fps.flatten().to_numpy().view(np.uint64), checks.flatten().to_numpy())
+            owner, counts = np.repeat(np.arange(len(sizes)), sizes), fs.flatten().to_numpy()
             order = np.argsort(want)
             want, owner, counts = want[order], owner[order], counts[order]
             found = ([], [], [])
@@ -263,9 +265,10 @@ def phrases_at(texts, wanted, bits, longest):
             for lang, raw, offsets, values in blocks(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), row], ["text", "lang", "row"]), ("row",)):
                 data, start, end, text, follows, symbols = hasher.words(raw, offsets)
                 for n in range(longest + 1):
-                    at, fp, _ = hasher.grams(follows, symbols, n, lang)
-                    spot = np.minimum(np.searchsorted(want, fp), len(want) - 1)
-                    hit = np.flatnonzero((want[spot] == fp) & (owner[spot] == values["row"][text[at]]))
+                    at, fp, check = hasher.grams(follows, symbols, n, lang)
+                    name = both(fp, check)
+                    spot = np.minimum(np.searchsorted(want, name), len(want) - 1)
+                    hit = np.flatnonzero((want[spot] == name) & (owner[spot] == values["row"][text[at]]))
                     spots, first = np.unique(spot[hit], return_index=True)
                     for s, i in zip(spots, at[hit[first]]):
                         if not seen[s]:
@@ -274,7 +277,7 @@ def phrases_at(texts, wanted, bits, longest):
                             found[1].append(b" ".join(data[start[i + k]:end[i + k]].tobytes() for k in range(n)).decode())
                             found[2].append(int(counts[s]))
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.int64())], ["lang", "phrase", "f"])
-    return texts.join(per_text, "text_no").select("text", "lang", "fps", "fs").mapInArrow(read, "lang string, phrase string, f long")
+    return texts.join(per_text, "text_no").select("text", "lang", "fps", "checks", "fs").mapInArrow(read, "lang string, phrase string, f long")
 
 
 def recount(spark, texts, met, levels, bitmap, bits):
@@ -333,7 +336,7 @@ def frequent_phrases(docs, longest=WORDS, least=LEAST, bits=64):
     sound = counted[0]
     for c in counted[1:]:
         sound = sound.union(c)
-    found = phrases_at(texts, sound.filter("lo = hi").select("fp", "f", "text_no"), bits, longest)
+    found = phrases_at(texts, sound.filter("lo = hi").select("fp", F.col("lo").alias("check"), "f", "text_no"), bits, longest)
     for p in parts:
         found = found.union(p)
     found = materialize(found)

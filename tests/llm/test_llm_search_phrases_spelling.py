@@ -163,7 +163,7 @@ def spelling_rows():
     def edit(w):
         k, kind, c = int(rng.integers(0, len(w))), int(rng.integers(0, 3)), alphabet[int(rng.integers(0, len(alphabet)))]
         return w[:k] + (c if kind == 0 else c + w[k] if kind == 1 else "") + w[k + 1:]
-    words = base * 12 + [edit(w) for w in base for _ in range(6) for _ in range(1)] * 3
+    words = base * 60 + [edit(w) for w in base for _ in range(2)] * 6
     words += [edit(edit(w)) for w in base] * 5 + ["Straße" + "x" * 40] * 5 + ["straße" + "x" * 41] * 30
     rng.shuffle(words)
     rows = [(int(i) if i % 9 else None, ", ".join(words[k:k + 25]).upper() if i % 5 == 0 else "! ".join(words[k:k + 25])) for i, k in enumerate(range(0, len(words), 25))]
