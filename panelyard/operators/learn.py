@@ -11,6 +11,7 @@ from pyspark.sql import functions as F, Window
 
 from ..functions.rolling import forward_return
 from ..functions.sections import DEFAULT_SPLITS, WHOLE, quantiles, whole, with_quantiles
+from ..session import materialize
 
 MODELS = {
     ("forest", "classification"): RandomForestClassifier, ("forest", "regression"): RandomForestRegressor,
@@ -64,7 +65,7 @@ def build(model, kind, columns, target, **params):
 def out_of_fold(table, folds, columns, model="forest", kind="classification", target=None, n_splits=5, **params):
     """Predictions of every validation row by the model of its own fold."""
     target = target or ("label" if kind == "classification" else "forward_return")
-    rows = with_folds(table, folds).withColumn(target, F.col(target).cast("double"))
+    rows = materialize(with_folds(table, folds).withColumn(target, F.col(target).cast("double")))     # every fold reads it
     parts = []
     for k in range(n_splits):
         train, valid = (rows.where((F.col("fold") == k) & (F.col("role") == r)) for r in ("train", "validate"))

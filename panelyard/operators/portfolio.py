@@ -8,6 +8,7 @@ from pyspark.sql import functions as F, Window
 
 from ..functions.columns import safe_div
 from ..functions import rolling as R
+from ..session import materialize
 
 # Fee rates, minimum commission, lot size.
 COMMISSION, MIN_COMMISSION, STAMP_TAX, TRANSFER, SLIPPAGE = 0.00025, 5.0, 0.001, 0.00002, 0.001
@@ -141,7 +142,7 @@ def covariance(returns, cells=2_000_000):
     complete = known.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
     total = known.agg(F.countDistinct("code").alias("_codes"))
     days = complete.crossJoin(F.broadcast(total)).where("_n = _codes").select("date")
-    known = known.join(days, "date", "left_semi")
+    known = materialize(known.join(days, "date", "left_semi").select("code", "date", "ret"))      # counted, then multiplied
     size = known.agg(F.approx_count_distinct("code").alias("codes"), F.approx_count_distinct("date").alias("dates")).first()
     blocks = max(1, ceil(size["codes"] * size["dates"] / cells))
     b = F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")

@@ -220,7 +220,7 @@ def expression_section(spark, sf_dir):
 
 
 _PRE = ["momentum_5d", "momentum_20d", "momentum_60d", "reversal_5d", "reversal_20d", "volatility_20d", "volume_ratio",
-        "volume_trend", "turnover_rank", "intraday_range"]
+        "volume_trend", "turnover_rank", "rsi_14", "intraday_range"]
 
 
 def _zscore_sql(x):
@@ -231,12 +231,14 @@ def _zscore_sql(x):
 @query("expression_presets", f"""WITH {WEEKLY}, {stage('s1', 'bars', {
     'd1': f"close - {lag('close')}", 'd5': f"close - {lag('close', 5)}", 'd20': f"close - {lag('close', 20)}",
     'd60': f"close - {lag('close', 60)}", 'n5': f"-(close - {lag('close', 5)})",
-    'n20': f"-(close - {lag('close', 20)})", 'v20': roll('avg', 'volume', 20, 10)})},
- {stage('s2', 's1', {'sd': roll('stddev_samp', 'd1', 20, 10)})},
+    'n20': f"-(close - {lag('close', 20)})", 'v20': roll('avg', 'volume', 20, 10),
+    'i': "CAST(row_number() OVER (PARTITION BY code ORDER BY date) AS DOUBLE)"})},
+ {stage('s2', 's1', {'sd': roll('stddev_samp', 'd1', 20, 10), 'up': "CASE WHEN d1 IS NOT NULL THEN greatest(d1, 0) END * pow(13.0 / 14, -i)",
+                     'down': "CASE WHEN d1 IS NOT NULL THEN greatest(-d1, 0) END * pow(13.0 / 14, -i)"})},
  {stage('z', 's2', {'momentum_5d': rank_sql('d5'), 'momentum_20d': rank_sql('d20'), 'momentum_60d': rank_sql('d60'),
   'reversal_5d': rank_sql('n5'), 'reversal_20d': rank_sql('n20'), 'volatility_20d': _zscore_sql('sd'),
   'volume_ratio': rank_sql('volume'), 'volume_trend': _zscore_sql('v20'), 'turnover_rank': rank_sql('turnover_rate'),
-  'intraday_range': rank_sql('d1')})} """ + final(_PRE))
+  'rsi_14': f"CASE WHEN count(up) {over()} >= 14 THEN 100 - 100 / (1 + sum(up) {over()} / nullif(sum(down) {over()}, 0)) END", 'intraday_range': rank_sql('d1')})} """ + final(_PRE))
 def expression_presets(spark, sf_dir):
     df = X.compute_presets(weekly_bars(spark, sf_dir), _PRE, weekly_splits(spark, sf_dir))
     return report(df, ["code", "date"], _PRE)

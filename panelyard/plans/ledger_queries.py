@@ -34,9 +34,10 @@ RANGES = f"""{T}, r0 AS (SELECT *, CAST(sum(CASE WHEN side = 'buy' THEN shares E
  r1 AS (SELECT *, greatest(0, max(cs - cb) OVER w) AS ov FROM r0 WINDOW w AS (PARTITION BY code ORDER BY trade_date, seq, execution_id)),
  r2 AS (SELECT *, coalesce(lag(ov) OVER (PARTITION BY code ORDER BY trade_date, seq, execution_id), 0) AS ov0 FROM r1),
  rg AS (SELECT *, CASE WHEN side = 'buy' THEN cb ELSE cs - ov END AS hi, CASE WHEN side = 'buy' THEN cb - shares ELSE cs - shares - ov0 END AS lo, cb - (cs - ov) AS pos FROM r2)"""
-TRIPS = f"""{RANGES}, m AS (SELECT b.code, b.execution_id AS buy_id, s.execution_id AS sell_id, b.trade_date AS buy_date, s.trade_date AS sell_date, b.seq AS buy_seq, s.seq AS sell_seq, b.price AS buy_price, s.price AS sell_price,
+TRIPS = f"""{RANGES}, seg AS (SELECT DISTINCT code, p FROM (SELECT code, lo AS p FROM rg WHERE hi > lo UNION ALL SELECT code, hi FROM rg WHERE hi > lo)), m AS (SELECT b.code, b.execution_id AS buy_id, s.execution_id AS sell_id, b.trade_date AS buy_date, s.trade_date AS sell_date, b.seq AS buy_seq, s.seq AS sell_seq, b.price AS buy_price, s.price AS sell_price,
   least(b.hi, s.hi) - greatest(b.lo, s.lo) AS shares, b.shares AS bs, s.shares AS ss, b.commission AS bc, s.commission AS sc, s.stamp_tax AS st, b.slippage_cost AS bl, s.slippage_cost AS sl
-  FROM rg b JOIN rg s ON b.code = s.code AND b.side = 'buy' AND s.side = 'sell' AND b.lo < s.hi AND s.lo < b.hi),
+  FROM seg ASOF JOIN (SELECT * FROM rg WHERE side = 'buy' AND hi > lo) b ON seg.code = b.code AND seg.p >= b.lo ASOF JOIN (SELECT * FROM rg WHERE side = 'sell' AND hi > lo) s ON seg.code = s.code AND seg.p >= s.lo
+  WHERE seg.p < b.hi AND seg.p < s.hi),
  m2 AS (SELECT *, (sell_price - buy_price) * shares AS gross_pnl, bc * shares / bs + sc * shares / ss AS commission, st * shares / ss AS stamp_tax, bl * shares / bs + sl * shares / ss AS slippage_cost FROM m),
  m3 AS (SELECT *, gross_pnl - commission - stamp_tax - slippage_cost AS net_pnl FROM m2),
  trips AS (SELECT *, net_pnl / (buy_price * shares) AS return_pct, CAST(greatest(sell_date - buy_date, 1) AS INTEGER) AS holding_days, net_pnl > 0 AS is_win FROM m3)"""
