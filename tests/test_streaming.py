@@ -28,12 +28,13 @@ def sink(folder):
 
 def test_account_state_over_batches(spark):
     rows = random_ledger(21, 240)
-    parts = [rows[:80], rows[80:160], rows[160:]]
+    order = np.random.default_rng(3).permutation(240)      # trades arrive in any order
+    parts = [[rows[i] for i in order[k::4]] for k in range(4)]
     folder = new_folder(spark, "t")
     stream = files(spark, parts, SCHEMA, f"{folder}/in")
-    out = run_to_end(S.account_state(stream), folder, "update", sink(folder))
+    out = run_to_end(S.account_state(stream, span=7), folder, "update", sink(folder), partitions=2)
     got = spark.read.parquet(out)
-    assert got.select("batch").distinct().count() >= 3
+    assert got.select("batch").distinct().count() >= 4
     last = got.groupBy("code").agg(F.max_by(F.struct("shares", "avg_cost"), "batch").alias("r")).select("code", "r.*").where("shares > 0")
     got = {r.code: (r.shares, r.avg_cost) for r in last.collect()}
     want = {r.code: (r.shares, r.avg_cost) for r in LG.positions(spark.createDataFrame(rows, SCHEMA)).collect()}
@@ -52,11 +53,13 @@ def test_breaker_over_batches_equals_a_loop(spark):
             rows.append((a, dt.date(2024, 1, 1) + dt.timedelta(days=i), nav, new))
             nav = new
     rows.sort(key=lambda r: r[1])
+    order = rng.permutation(len(rows))                      # returns arrive in any order
     schema = "account string, date date, start_nav double, current_nav double"
     folder = new_folder(spark, "t")
-    stream = files(spark, [rows[:40], rows[40:80], rows[80:]], schema, f"{folder}/in")
-    out = run_to_end(A.circuit_breaker(stream), folder)
-    got = {(r.account, r.date): (r.allowed, r.reason) for r in spark.read.parquet(out).collect()}
+    stream = files(spark, [[rows[i] for i in order[k::4]] for k in range(4)], schema, f"{folder}/in")
+    out = run_to_end(A.circuit_breaker(stream), folder, "update", sink(folder), partitions=2)
+    last = spark.read.parquet(out).groupBy("account", "date").agg(F.max_by(F.struct("allowed", "reason"), "batch").alias("r"))
+    got = {(r.account, r.date): (r.r.allowed, r.r.reason) for r in last.collect()}
     step, state = A.Breaker(), {}
     for a, d, start, now in rows:
         tripped, recent = state.get(a, (False, []))
@@ -77,18 +80,41 @@ def test_ingest_rejects_repeats_within_and_across_batches(spark):
     parts = [[row(1, 9), row(1, 9), row(2, 9, 50)], [row(1, 10), row(3, 10)], [row(3, 11), row(4, 11)]]
     folder = new_folder(spark, "t")
     stream, write = S.ingest(files(spark, parts, schema, f"{folder}/in"), folder)
-    out = run_to_end(stream, folder, each_batch=write)
+    out = run_to_end(stream, folder, each_batch=write, partitions=2)
     assert sorted(r.execution_id for r in spark.read.parquet(f"{out}/accepted").collect()) == ["e1", "e3", "e4"]
     assert [r.execution_id for r in spark.read.parquet(f"{out}/quarantine").collect()] == ["e2"]
 
 
+def test_ingest_checks_rules_before_repeats(spark):
+    """Records without an id are kept apart one by one, and a faulty record does not hide its corrected successor."""
+    schema = SCHEMA + ", created_at timestamp, position_after_shares long"
+    row = lambda i, m, shares=100: (i, dt.date(2024, m, 1), "000001.SH", "buy", shares, 9.0, 0.0, 0.0, 0.0, True, m, dt.datetime(2024, m, 1, 9), 0)
+    parts = [[row(None, 1), row(None, 2), row("a", 1, 50)], [row(None, 3), row("a", 1)], [row(None, 3), row("b", 2), row("a", 1)], [row("b", 2), row("a", 1, 50)]]
+    folder = new_folder(spark, "t")
+    stream, write = S.ingest(files(spark, parts, schema, f"{folder}/in"), folder)
+    out = run_to_end(stream, folder, each_batch=write, partitions=2)
+    assert sorted(r.execution_id for r in spark.read.parquet(f"{out}/accepted").collect()) == ["a", "b"]
+    bad = [r.execution_id for r in spark.read.parquet(f"{out}/quarantine").collect()]
+    assert len(bad) == 6 and bad.count(None) == 4 and bad.count("a") == 2
+
+
+def test_account_state_counts_trades_of_closed_days(spark):
+    day = dt.date(2024, 1, 1)
+    row = lambda i, d, side="buy": (f"e{i}", day + dt.timedelta(days=d), "000001.SH", side, 100, 9.0, 0.0, 0.0, 0.0, True, i)
+    parts = [[row(1, 0)], [row(2, 30)], [row(3, 1), row(4, 29)]]
+    folder = new_folder(spark, "t")
+    out = run_to_end(S.account_state(files(spark, parts, SCHEMA, f"{folder}/in"), keep=10), folder, "update", sink(folder), partitions=2)
+    last = spark.read.parquet(out).orderBy(F.desc("batch")).first()
+    assert (last.shares, last.rows, last.late) == (300, 1, 1)
+
+
 def test_ingest_keeps_late_records(spark):
     schema = SCHEMA + ", created_at timestamp, position_after_shares long"
     row = lambda i, m: (f"e{i}", dt.date(2024, m, 1), "000001.SH", "buy", 100, 9.0, 0.0, 0.0, 0.0, True, i, dt.datetime(2024, m, 1, 9), 0)
     parts = [[row(1, 3), row(2, 3)], [row(3, 1)], [row(4, 1), row(1, 3), row(3, 1)], [row(5, 2)]]
     folder = new_folder(spark, "t")
     stream, write = S.ingest(files(spark, parts, schema, f"{folder}/in"), folder)
-    out = run_to_end(stream, folder, each_batch=write)
+    out = run_to_end(stream, folder, each_batch=write, partitions=2)
     assert sorted(r.execution_id for r in spark.read.parquet(f"{out}/accepted").collect()) == ["e1", "e2", "e3", "e4", "e5"]
 
 
