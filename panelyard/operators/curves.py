@@ -186,7 +186,11 @@ def segment_consistency(curves, length=252, key=KEY):
     seg = rows.groupBy(key, F.floor((F.col("pos") - 2) / length).alias("segment")).agg(
         F.avg("ret").alias("_m"), _sd("ret").alias("_s"), F.count(F.lit(1)).alias("_n")).where("_n >= 2 and _s > 0")
     seg = seg.withColumn("seg_sharpe", (F.pow(1 + F.col("_m"), F.lit(252.0)) - 1) / (F.col("_s") * F.sqrt(F.lit(252.0))))
-    out = seg.groupBy(key).agg(F.count(F.lit(1)).alias("segment_count"), _sd("seg_sharpe").alias("seg_ir_std"))
+    # deviations from the mean: a spread beyond the largest double is infinite, which stddev_samp would make NaN
+    off = F.col("seg_sharpe") - F.avg("seg_sharpe").over(Window.partitionBy(key))
+    out = seg.withColumn("_d2", off * off).groupBy(key).agg(F.count(F.lit(1)).alias("segment_count"), F.sum("_d2").alias("_d2"))
+    spread = F.sqrt(F.col("_d2") / (F.col("segment_count") - 1))
+    out = out.withColumn("seg_ir_std", F.when(F.col("segment_count") >= 2, spread)).drop("_d2")
     return out.withColumn("seg_ir_std", F.when(F.col("segment_count") >= 2, F.col("seg_ir_std")).otherwise(0.0))
 
 

@@ -64,6 +64,17 @@ def test_segments_share_a_point(spark):
     assert got.segment_count == len(sharpes) and got.seg_ir_std == pytest.approx(np.std(sharpes, ddof=1))
 
 
+def test_spread_of_segments_beyond_a_double_fails_its_gate(spark):
+    eq = [1.0, 10.0, 110.0, 1320.0, 1400.0, 1380.0, 1500.0, 1490.0, 1510.0]      # first segment: a mean of 11 a day, to the 252nd
+    both = curve(spark, eq, "a").unionByName(curve(spark, [1.0, 1.1, 1.05, 1.2, 1.1, 1.3], "b"))
+    seg = CU.segment_consistency(both, 3)
+    spread = {r.strategy_id: r.seg_ir_std for r in seg.collect()}
+    assert spread["a"] == float("inf") and 0 < spread["b"] < 1e9
+    trades = spark.createDataFrame([("a", 60), ("b", 60)], "strategy_id string, trade_count long")
+    failed = {r.strategy_id: r.failed_gates for r in CU.judge(CU.all_metrics(both), seg, trades).collect()}
+    assert "segments" in failed["a"]
+
+
 def test_turnover_sees_codes_that_leave_and_return(spark):
     w = {0: {"a": 1.0}, 1: {"b": 1.0}, 2: {"a": 0.5, "b": 0.5}, 3: {"a": 0.5, "b": 0.5}}
     rows = [("s", DAY[d], c, x) for d, m in w.items() for c, x in m.items()]
