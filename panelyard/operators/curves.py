@@ -201,8 +201,9 @@ GATES = {"sharpe": 0.8, "calmar": 0.5, "max_drawdown": 0.35, "trades": 50, "segm
 def judge(metrics, segments, trades, gates=GATES, key=KEY):
     """candidate or rejected, with the failed and skipped gates. trades: key, trade_count."""
     from ..functions.columns import labels
-    j = (metrics.select(key, "sharpe", "calmar", "max_drawdown").join(segments, key, "left").join(trades, key, "left")
-         .na.fill({"trade_count": 0, "segment_count": 0, "seg_ir_std": 0.0}))
+    j = metrics.select(key, "sharpe", "calmar", "max_drawdown").join(segments, key, "left").join(trades, key, "left")
+    # na.fill would also turn NaN, an unknown spread, into the best one
+    j = j.withColumns({n: F.coalesce(n, F.lit(v)) for n, v in (("trade_count", 0), ("segment_count", 0), ("seg_ir_std", 0.0))})
     c = F.col
     skip = c("segment_count") < 2
     failed = labels(("sharpe", c("sharpe") < gates["sharpe"]), ("calmar", c("calmar") < gates["calmar"]),
