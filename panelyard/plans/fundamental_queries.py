@@ -6,6 +6,7 @@ quarter; a quarter whose line count divides by seven has no disclosure date.
 
 from pyspark.sql import functions as F, Window
 
+from ..functions.columns import exact_sum
 from ..operators import cleaning as C, fundamentals as FU, pit as PT
 from .factor_queries import over, roll
 from .registry import query
@@ -21,9 +22,9 @@ def reports(spark, sf_dir):
     end = F.last_day(F.add_months(F.date_trunc("quarter", day).cast("date"), 2))
     price = F.col("l_extendedprice") / F.col("l_quantity")
     q = li.groupBy(F.col("l_suppkey").alias("code"), end.alias("report_date")).agg(
-        F.sum("l_extendedprice").alias("rev"), F.sum("l_quantity").alias("qty"),
-        F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("disc"),
-        F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("tax"), F.count(F.lit(1)).alias("n"),
+        exact_sum("l_extendedprice").alias("rev"), F.sum("l_quantity").alias("qty"),
+        exact_sum(F.col("l_extendedprice") * F.col("l_discount")).alias("disc"),
+        exact_sum(F.col("l_extendedprice") * F.col("l_tax")).alias("tax"), F.count(F.lit(1)).alias("n"),
         F.max_by(price, line_order()).alias("p"))
     q = q.withColumn("code", code_of("code")).withColumn("net", F.col("tax") - 0.6 * F.col("disc"))
     w = Window.partitionBy("code").orderBy("report_date")

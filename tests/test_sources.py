@@ -1,11 +1,13 @@
 """Readers, sinks, cleaning, point-in-time joins, quality gates."""
 
 import datetime as dt
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
 
-from panelyard.operators import cleaning as C, dispatch as DP, fundamentals as FU, pit as PT
+from panelyard.functions.columns import exact_sum
+from panelyard.operators import cleaning as C, dispatch as DP, fundamentals as FU, levels as LV, pit as PT
 from panelyard.sources import panel as P
 
 D = dt.date
@@ -139,6 +141,34 @@ def test_peer_mean_leaves_the_company_out(spark):
         assert got == {"a": (3, 3, 30.0, "disadvantage"), "b": (2, 3, 25.0, "disadvantage"), "c": (1, 3, 15.0, "advantage")}
 
 
+def test_rank_of_equal_sums_does_not_depend_on_the_order_of_rows(spark):
+    parts = [0.1, 0.2, 0.3, 1234.7, 99999.91, 0.6]
+    rows = [(c, x) for c, xs in (("a", parts), ("b", parts[::-1]), ("c", parts[3:] + parts[:3])) for x in xs]
+    df = spark.createDataFrame(rows, "code string, x double").repartition(1).sortWithinPartitions("code")
+    got = {r.s for r in df.groupBy("code").agg(exact_sum("x").alias("s")).collect()}
+    assert got == {101235.81}
+    odd = spark.createDataFrame([("n", float("nan")), ("n", 1.0), ("i", float("inf")), ("i", 2.0), ("h", 1e300), ("h", None), ("z", None),
+                                 ("t", 1e-15), ("t", 2e-15)], "code string, x double")
+    s = {r.code: r.s for r in odd.groupBy("code").agg(exact_sum("x").alias("s")).collect()}
+    assert s["n"] != s["n"] and s["i"] == float("inf") and s["h"] == 1e300 and s["z"] is None and s["t"] == pytest.approx(3e-15)
+
+
+def test_verdict_at_its_bound(spark):
+    """Four percentiles that average exactly 25 in any order of addition."""
+    pct = [15.7, 19.4, 0.8, 64.1]
+    rows = [(f"c{i}", "dv_ratio", p) for i, order in enumerate(permutations(pct)) for p in order]
+    df = spark.createDataFrame(rows, "code string, metric string, percentile double").repartition(1)
+    assert {r.verdict for r in FU.valuation_score(df).collect()} == {"fairly_rich"}
+
+
+def test_bars_that_share_code_and_date_are_taken_in_one_order(spark):
+    rows = [("000001.SH", D(2024, 1, 2), 10.0, c, False) for c in (11.0, 9.0, 10.0)]
+    for some in (rows, rows[::-1], rows[1:] + rows[:1]):
+        df = spark.createDataFrame(some, "code string, date date, pre_close double, close double, is_st boolean").coalesce(1)
+        r = LV.limit_counts(df, 1).first()
+        assert (r.limit_ups, r.limit_downs, r.near_limit) == (0, 1, False)
+
+
 def test_categories_skip_missing_tables(spark, panel):
     out, done, skipped = DP.compute_categories(panel, {}, ("price_volume", "financial"))
     assert done == ["price_volume"] and list(skipped) == ["financial"] and "ret_20d" in out.columns
