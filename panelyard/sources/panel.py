@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F, types as T
 
-from ..functions.columns import change_pct, finite, parse_date
+from ..functions.columns import change_pct, exact_sum, finite, parse_date
 from ..functions.rolling import lag
 
 REQUIRED = ["code", "date", "open", "high", "low", "close", "volume"]
@@ -99,7 +99,7 @@ def to_bars(ticks, code, date, price, volume, amount, order):
             .groupBy("code", "date").agg(
                 F.min_by("_p", "_s").alias("open"), F.max("_p").alias("high"), F.min("_p").alias("low"),
                 F.max_by("_p", "_s").alias("close"), F.sum("_v").cast("double").alias("volume"),
-                F.sum("_a").cast("double").alias("amount")))
+                exact_sum("_a").alias("amount")))
 
 
 def write_panel(df, path, mode="overwrite"):
