@@ -1,6 +1,7 @@
 """Order-rate alert and circuit breaker with hysteresis."""
 
-import numpy as np
+from math import prod
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -35,18 +36,28 @@ class Breaker(StatefulProcessor):
             raise ValueError("recover must exceed -limit, or there is no hysteresis")
         self.limit, self.recover, self.span, self.least, self.keep = limit, recover, span, least, keep
 
+    SLOT = 512      # days whose checks share one entry of the state, read and written as a whole
+
     def init(self, handle):
-        self.checks = handle.getMapState("checks", "date date", "ret double, tripped boolean, recent array<double>")
+        # what the first check of a slot starts from, and the returns of the slot
+        self.slots = handle.getMapState("slots", "slot long", "tripped boolean, recent array<double>, days array<date>, rets array<double>")
+
+    def put(self, slots, slot, tripped, recent, rets):
+        """Store a slot if it changed."""
+        if slots.get(slot) != (tripped, recent, rets):
+            slots[slot] = (tripped, recent, rets)
+            days = sorted(rets)
+            self.slots.updateValue((slot,), (tripped, recent, days, [rets[d] for d in days]))
 
     def step(self, tripped, recent, ret):
         """(tripped, recent, reason) after one return."""
-        rolling = float(np.prod([1 + r for r in recent]) - 1) if len(recent) >= self.least else None
+        rolling = prod(1 + r for r in recent) - 1 if len(recent) >= self.least else None
         if tripped and not (ret >= self.recover or (rolling is not None and rolling >= self.recover)):
             return True, recent, "blocked"
         if ret < -self.limit:
             return True, recent, "day_loss"
         recent = (recent + [ret])[-self.span:]
-        if len(recent) >= self.least and float(np.prod([1 + r for r in recent]) - 1) < -self.limit:
+        if len(recent) >= self.least and prod(1 + r for r in recent) - 1 < -self.limit:
             return True, recent, "rolling_loss"
         return False, recent, "recovered" if tripped else ""
 
@@ -55,21 +66,30 @@ class Breaker(StatefulProcessor):
         for part in rows:
             for day, now, start in zip(part["date"], part["current_nav"], part["start_nav"]):
                 fresh[day] = float((now - start) / start) if start > 0 else 0.0
-        days = sorted({*(k[0] for k in self.checks.keys()), *fresh})
-        at, tripped, recent = days.index(min(fresh)), False, []
-        if at:
-            ret, tripped, recent = self.checks.getValue((days[at - 1],))
-            tripped, recent, _ = self.step(tripped, list(recent), ret)
-        out = []
-        # every check remembers what it started from, so a late return is checked in its place and all later ones again
-        for day in days[at:]:
-            ret = fresh[day] if day in fresh else self.checks.getValue((day,))[0]
-            self.checks.updateValue((day,), (ret, tripped, [float(r) for r in recent]))
-            tripped, recent, why = self.step(tripped, recent, ret)
-            out.append((key[0], day, not tripped, why))
+        slot_of = lambda day: day.toordinal() // self.SLOT
+        slots = {k[0]: (v[0], list(v[1]), dict(zip(v[2], v[3]))) for k, v in self.slots.iterator()}
+        first, out = min(fresh), []
+        # a late return is checked in its place and all later ones again, from the slot that holds the check before it
+        before = [s for s, (_, _, rets) in slots.items() if s <= slot_of(first) and min(rets) < first]
+        tripped, recent = slots[max(before)][:2] if before else (False, [])
+        for slot in sorted({*(s for s in slots if not before or s >= max(before)), *map(slot_of, fresh)}):
+            rets = {**slots[slot][2]} if slot in slots else {}
+            rets.update((d, r) for d, r in fresh.items() if slot_of(d) == slot)
+            self.put(slots, slot, tripped, recent, rets)
+            for day in sorted(rets):
+                tripped, recent, why = self.step(tripped, recent, rets[day])
+                if day >= first:
+                    out.append((key[0], day, not tripped, why))
         if self.keep is not None:
-            for day in days[:-self.keep]:
-                self.checks.removeKey((day,))
+            gone = sorted(d for _, _, rets in slots.values() for d in rets)[:-self.keep]
+            for slot in sorted({slot_of(d) for d in gone}):
+                tripped, recent, rets = slots[slot]
+                if max(rets) <= gone[-1]:
+                    self.slots.removeKey((slot,))
+                    continue
+                for day in sorted(d for d in rets if d <= gone[-1]):
+                    tripped, recent, _ = self.step(tripped, recent, rets[day])
+                self.put(slots, slot, tripped, recent, {d: r for d, r in rets.items() if d > gone[-1]})
         yield pd.DataFrame(out, columns=["account", "date", "allowed", "reason"])
 
     def close(self):

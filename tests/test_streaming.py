@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pandas as pd
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +127,72 @@ def test_rate_alerts(spark):
     stream = files(spark, [rows], "ts timestamp, id int", f"{folder}/in")
     out = run_to_end(A.rate_alerts(stream, 5), folder, "update", sink(folder))
     assert [(str(r.start), r.orders) for r in spark.read.parquet(out).collect()] == [("2024-01-01 09:30:00", 8)]
+
+
+class CountedState(dict):
+    """A map state in memory that counts its calls."""
+
+    calls = 0
+
+    def iterator(self):
+        self.calls += 1
+        return iter([(k, v) for k, v in self.items()])
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self[key]
+
+
+class Handle:
+    def __init__(self):
+        self.maps = CountedState()
+
+    def getMapState(self, *_):
+        return self.maps
+
+    def getValueState(self, *_):
+        return type("Empty", (), {"exists": lambda self: False})()
+
+
+def test_breaker_calls_its_state_once_a_slot():
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(1500)]
+    navs = pd.DataFrame({"date": days, "start_nav": 100.0, "current_nav": [100 + (i * 37 % 13) - 6.5 for i in range(1500)]})
+    whole, b = A.Breaker(), A.Breaker()
+    whole.init(Handle())
+    b.init(handle := Handle())
+    want = next(whole.handleInputRows(("a",), iter([navs]), None))
+    got = {}
+    for part in (navs[1::3], navs[::3], navs[2::3]):
+        got.update({r.date: (r.allowed, r.reason) for r in next(b.handleInputRows(("a",), iter([part]), None)).itertuples()})
+    assert got == {r.date: (r.allowed, r.reason) for r in want.itertuples()}
+    assert handle.maps.calls <= 3 * (2 + 1500 // A.Breaker.SLOT + 1)
+
+
+def test_breaker_forgets_in_the_middle_of_a_slot():
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(600)]
+    navs = pd.DataFrame({"date": days, "start_nav": 100.0, "current_nav": [100 + (i * 37 % 13) - 6.5 for i in range(600)]})
+    whole, b = A.Breaker(), A.Breaker(keep=20)
+    whole.init(Handle())
+    b.init(handle := Handle())
+    want = next(whole.handleInputRows(("a",), iter([navs]), None))
+    parts = [next(b.handleInputRows(("a",), iter([navs[k:k + 50]]), None)) for k in range(0, 600, 50)]
+    assert pd.concat(parts, ignore_index=True).equals(want)
+    assert sum(len(v[2]) for v in handle.maps.values()) == 20
+
+
+def test_account_state_calls_its_state_once_a_slot():
+    day = dt.date(2020, 1, 1)
+    rows = pd.DataFrame([(day + dt.timedelta(days=i), i, f"e{i}", "sell" if i % 3 == 2 else "buy", 100 * (1 + i % 5), 9.0 + i % 7) for i in range(900)],
+                        columns=["trade_date", "seq", "execution_id", "side", "shares", "price"])
+    one, s = S.AccountState(span=180), S.AccountState(span=180)
+    one.init(Handle())
+    s.init(handle := Handle())
+    want = next(one.handleInputRows(("a",), iter([rows]), None)).iloc[0]
+    for part in (rows[1::3], rows[::3], rows[2::3]):
+        got = next(s.handleInputRows(("a",), iter([part]), None)).iloc[0]
+    assert (got.shares, got.available, got.avg_cost, got.last_date) == (want.shares, want.available, want.avg_cost, want.last_date)
+    assert handle.maps.calls <= 3 * (1 + 900 // 180 + 1)
