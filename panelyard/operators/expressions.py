@@ -104,15 +104,15 @@ PRESETS = {
 }
 
 
-def compute_presets(df, names=None, splits=DEFAULT_SPLITS):
-    """Named preset factors: all code windows first, then all date windows."""
+def compute_presets(df, names=None, splits=DEFAULT_SPLITS, rows=None):
+    """Named preset factors: all code windows first, then all date windows. ``rows``: the most rows of a code, if known."""
     names = list(names or PRESETS)
     unknown = [n for n in names if n not in PRESETS]
     if unknown:
         raise ValueError(f"unknown presets: {unknown}")
     if "rsi_14" in names:
         from .smoothing import wilder_rsi
-        df = wilder_rsi(df, "close", {"_rsi_14": 14})
+        df = wilder_rsi(df, "close", {"_rsi_14": 14}, rows=rows)
     df = df.withColumn("_d1", R.delta("close"))
     df = df.withColumns({f"_in_{n}": PRESETS[n][0]() for n in names}).drop("_d1", "_rsi_14")
     wanted = {n: (PRESETS[n][1], f"_in_{n}") for n in names if PRESETS[n][1]}

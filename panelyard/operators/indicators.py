@@ -149,8 +149,11 @@ def indicator_info(name):
     raise ValueError(f"unknown indicator {name}")
 
 
-def indicators(df, names):
-    """Add the named indicators; raises ValueError for unknown names or missing inputs."""
+def indicators(df, names, rows=None):
+    """Add the named indicators; raises ValueError for unknown names or missing inputs.
+
+    ``rows``: the most rows of a code, if known; short histories need fewer sorts.
+    """
     infos = [indicator_info(n) for n in names]
     missing = sorted({i for info in infos for i in info["inputs"]} - set(df.columns))
     if missing:
@@ -166,5 +169,5 @@ def indicators(df, names):
     out = out.select(*base, *native)
     recursive = {n: RECURSIVE[n] for n in names if n in RECURSIVE}
     if recursive:
-        out = add_recursive(out, recursive)
+        out = add_recursive(out, recursive, rows=rows)
     return out.select(*base, *names)
