@@ -11,6 +11,7 @@ from pyspark.sql import functions as F, Window
 
 from ..functions.rolling import forward_return
 from ..functions.sections import DEFAULT_SPLITS, WHOLE, quantiles, whole, with_quantiles
+from ..session import materialize, release
 
 MODELS = {
     ("forest", "classification"): RandomForestClassifier, ("forest", "regression"): RandomForestRegressor,
@@ -62,17 +63,26 @@ def build(model, kind, columns, target, **params):
 
 
 def out_of_fold(table, folds, columns, model="forest", kind="classification", target=None, n_splits=5, **params):
-    """Predictions of every validation row by the model of its own fold."""
+    """Predictions of every validation row by the model of its own fold.
+
+    Every fit reads its rows several times, so the table is stored once and only for the fits,
+    the small table of folds too, and the predictions for what follows.
+    """
     target = target or ("label" if kind == "classification" else "forward_return")
-    rows = with_folds(table, folds).withColumn(target, F.col(target).cast("double"))
+    kept = list(dict.fromkeys((target, "forward_return")))
+    own = [materialize(folds)] + ([] if hasattr(table, "stored_at") else [materialize(table.select("code", "date", *dict.fromkeys([*kept, *columns])))])
+    stored, folds = own[1] if len(own) > 1 else table, own[0]
+    rows = with_folds(stored, folds).withColumn(target, F.col(target).cast("double"))
     parts = []
     for k in range(n_splits):
         train, valid = (rows.where((F.col("fold") == k) & (F.col("role") == r)) for r in ("train", "validate"))
         fitted = build(model, kind, columns, target, **params).fit(train)
-        parts.append(fitted.transform(valid).select("code", "date", "fold", *dict.fromkeys((target, "forward_return")), "prediction"))
+        parts.append(fitted.transform(valid).select("code", "date", "fold", *kept, "prediction"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    out = materialize(out)
+    release(*own)
     return out
 
 
