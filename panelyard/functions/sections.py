@@ -107,9 +107,9 @@ def with_avg_rank(df, names, by=("date",), splits=DEFAULT_SPLITS, pct=True, suff
     if splits == 1:
         out = {}
         for x in names:
+            # first and last place of the ties in one order: a window over the ties would sort again
             w = Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last())
-            ties = Window.partitionBy(*by, x)
-            rank = F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
+            rank = (F.rank().over(w) + F.count(F.lit(1)).over(w)) / F.lit(2.0)
             n = F.count(F.col(x)).over(Window.partitionBy(*by))
             out[x + suffix] = F.when(F.col(x).isNotNull(), rank / n if pct else rank)
         return df.withColumns(out)
@@ -122,8 +122,8 @@ def with_avg_rank(df, names, by=("date",), splits=DEFAULT_SPLITS, pct=True, suff
         single = F.col(r) % 2 == 1
         rows = rows.withColumn("_salt", _salt(rows, single | F.col(r).isNull()))
         part = by + [r, "_salt"]
-        inner = F.rank().over(Window.partitionBy(*part).orderBy(x)) \
-            + (F.count(F.lit(1)).over(Window.partitionBy(*part, x)) - 1) / F.lit(2.0)
+        order = Window.partitionBy(*part).orderBy(x)
+        inner = (F.rank().over(order) + F.count(F.lit(1)).over(order)) / F.lit(2.0)
         rank = F.col("_below") + F.when(single, (F.col("_c") + 1) / F.lit(2.0)).otherwise(inner)
         rows = rows.withColumn(x + suffix, F.when(F.col(x).isNotNull(),
                                                   rank / F.col("_n") if pct else rank))

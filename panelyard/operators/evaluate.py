@@ -39,12 +39,13 @@ def ic_stats(series, by=(), ddof=1):
         "t_stat": F.coalesce(safe_div(F.col("ic_mean") * F.sqrt("n_dates"), "ic_std"), F.lit(0.0))})
 
 
-def stack_pairs(df, factors, rets):
-    """Long form: one row per factor, horizon and panel row with both values known."""
-    f = F.explode(F.array(*[F.struct(F.lit(x).alias("factor"), F.col(x).alias("x")) for x in factors]))
-    r = F.explode(F.array(*[F.struct(F.lit(y).alias("horizon"), F.col(y).alias("y")) for y in rets]))
-    return (df.select("date", *rets, f.alias("_f")).select("date", "_f.*", r.alias("_r"))
-            .select("date", "factor", "x", "_r.*").where("x is not null and y is not null"))
+def stack_pairs(df, cells):
+    """Long form: one row per cell (factor, horizon) and panel row with both values known.
+
+    A cell goes by its number: names would be moved, sorted and compared with every row.
+    """
+    one = F.explode(F.array(*[F.struct(F.lit(i).alias("cell"), F.col(x).alias("x"), F.col(y).alias("y")) for i, (x, y) in enumerate(cells)]))
+    return df.select("date", one.alias("_c")).select("date", "_c.*").where("x is not null and y is not null")
 
 
 def ic_matrix_series(df, factors, rets, method="pearson", min_obs=MIN_SECTION, splits=DEFAULT_SPLITS):
@@ -61,8 +62,10 @@ def ic_matrix_series(df, factors, rets, method="pearson", min_obs=MIN_SECTION, s
         wide = df.groupBy("date").agg(*aggs)
         return (wide.select("date", F.explode(F.array(*[f"_c{i}" for i in range(len(cells))])).alias("_c"))
                 .select("date", "_c.*").where((F.col("n_obs") >= min_obs) & F.col("ic").isNotNull()))
-    return ic_series(stack_pairs(df, factors, rets), "x", "y", method, min_obs, splits,
-                     by=("factor", "horizon", "date"))
+    cells = [(x, y) for x in factors for y in rets]
+    series = ic_series(stack_pairs(df, cells), "x", "y", method, min_obs, splits, by=("date", "cell"))
+    name = lambda k: F.element_at(F.array(*[F.lit(c[k]) for c in cells]), F.col("cell") + 1)
+    return series.select(name(0).alias("factor"), name(1).alias("horizon"), "date", "ic", "n_obs")
 
 
 def ic_matrix(df, factors, rets, method="pearson", min_obs=MIN_SECTION, splits=DEFAULT_SPLITS, ddof=1):
