@@ -18,7 +18,7 @@ from itertools import combinations
 import pyspark.sql.functions as F
 from pyspark.sql import Window
 
-from ..session import materialize
+from ..session import materialize, release, scratch
 from .common import free_name, without
 from .components import components
 
@@ -224,13 +224,14 @@ def common_shingles(docs, words, sample=SAMPLE, most=COMMON):
 def shingle_sets(docs, words, similarity, common):
     """``docs`` (without the text) with what stands for the set of a text's shingles.
 
-    h0, h1: hash of the set; size; s0, s1, ...: parity of the number of shingles in each of
-    64 * SKETCH classes, so that two sets differ in at least as many shingles as their parities
-    in bits; prefix: the first shingles, rare ones first. Two sets with the wanted similarity
-    share a shingle of their prefixes.
+    h0, h1: hash of the set; size; fp: its SimHash; s0, s1, ...: parity of the number of shingles
+    in each of 64 * SKETCH classes, so that two sets differ in at least as many shingles as their
+    parities in bits; wide: the same for sets of more shingles than that, in as many classes
+    as shingles (a power of two), null for others; prefix: the first shingles, rare ones first. Two
+    sets with the wanted similarity share a shingle of their prefixes.
     """
     keep = [c for c in docs.columns if c != "text"]
-    names = ["h0", "h1", "size", *[f"s{i}" for i in range(SKETCH)], "prefix"]
+    names = ["h0", "h1", "size", "fp", *[f"s{i}" for i in range(SKETCH)], "wide", "prefix"]
     shift = 64 - (64 * SKETCH).bit_length() + 1
 
     def run(batches):
@@ -242,12 +243,16 @@ def shingle_sets(docs, words, similarity, common):
         hashes = shingle_hasher(words)
         known, often = common
         for b in batches:
-            ids, size, sketch, prefix = [], [], [np.zeros((0, SKETCH), np.int64)], [np.zeros(0, np.uint64)]
+            ids, size, fp, sketch, wide, prefix = [], [], [], [np.zeros((0, SKETCH), np.int64)], [], [np.zeros(0, np.uint64)]
             for text in b.column(len(keep)):
                 s = np.unique(np.array(hashes(text.as_py().encode()) if text.is_valid else [], np.uint64))
                 n = len(s)
                 ids.append(xxh3_128_digest(s.tobytes()))
                 size.append(n)
+                fp.append(majority(s, [n])[0] if n else np.uint64(0))
+                classes = 1 << (n - 1).bit_length()
+                wide.append(np.packbits((np.bincount((s & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1).astype(np.uint8)).tobytes()
+                            if n > 64 * SKETCH else None)
                 sketch.append(np.packbits((np.bincount((s >> np.uint64(shift)).astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)[None])
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -257,51 +262,88 @@ def shingle_sets(docs, words, similarity, common):
             sketch = np.concatenate(sketch)
             ends = np.cumsum([0, *map(len, prefix[1:])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(size, pa.int32()),
-                                              *[pa.array(sketch[:, i]) for i in range(SKETCH)],
+                                              pa.array(np.array(fp, np.uint64).view(np.int64)), *[pa.array(sketch[:, i]) for i in range(SKETCH)], pa.array(wide, pa.binary()),
                                               pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix).view(np.int64)))], [*keep, *names])
     rows = docs.select(*keep, "text")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*fields, "h0 long, h1 long, size int", *[f"s{i} long" for i in range(SKETCH)], "prefix array<long>"]))
+    return rows.mapInArrow(run, ", ".join([*fields, "h0 long, h1 long, size int, fp long", *[f"s{i} long" for i in range(SKETCH)], "wide binary, prefix array<long>"]))
+
+
+def _may_be_similar(pairs, similarity):
+    """Pairs (a, b) whose wide parities (null: not known) leave the wanted similarity possible; the finer one is folded."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for b in batches:
+            keep = []
+            for i, (x, y, total) in enumerate(zip(*(b.column(k).to_pylist() for k in (2, 3, 4)))):
+                if x is not None and y is not None:
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    while len(x) != len(y):
+                        x, y = (x, y) if len(x) > len(y) else (y, x)
+                        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+                    if np.bitwise_count(x ^ y).sum(dtype=np.int64) > total * ((1 - similarity) / (1 + similarity)) + 1e-6:
+                        continue
+                keep.append(i)
+            yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+    return pairs.select("a", "b", "wide_a", "wide_b", "total").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs, words=5, similarity=0.8):
     """Row keys (monotonically_increasing_id of ``docs``) of one row of each group of near-duplicate texts.
 
-    A node stands for the rows with one set of shingles. Nodes that share a shingle of their
-    prefixes lie in one cell, and every pair with the wanted similarity does. Each node first
-    meets the member of its cells that shares most with others, then that of each cell; the
-    components of these links are contracted, and all pairs of different components that are
-    left in a cell are compared. Parities of the sets rule pairs out, the Jaccard similarity of
-    the texts' shingles decides: no pair is missed. The kept row of a group is the one with
-    the least doc_id (a row without doc_id only if there is no other). Texts without words form
-    one group.
+    A node stands for the rows with one set of shingles. SimHash comes first: nodes of one
+    fingerprint meet their least, fingerprints within RADIUS bits (``close_links``, by segment
+    popcounts) meet by their least nodes. What it cannot reach follows exactly: nodes that
+    share a shingle of their prefixes lie in one cell, and every pair with the wanted similarity
+    does. Each node meets the member of its cells that shares most with others, then that of
+    each cell; the components of all links are contracted, and all pairs of different components
+    that are left in a cell are compared, where the places of the shared shingle leave enough
+    shingles behind and it is their first one. Parities of the sets rule pairs out, the Jaccard
+    similarity of the texts' shingles decides every pair: none is missed. The kept row of a
+    group is the one with the least doc_id (a row without doc_id only if there is no other).
+    Texts without words form one group.
     """
     keyed = docs.select("doc_id", "text").withColumn("row_key", F.monotonically_increasing_id())
     signed = materialize(shingle_sets(keyed, words, similarity, common_shingles(keyed, words)))
     first = signed.groupBy("h0", "h1").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("first"))
     node = materialize(signed.join(first.select("first", F.col("first.row_key").alias("row_key")), "row_key").drop("doc_id", "h0", "h1")
                        .withColumnRenamed("row_key", "node"))
-    live = materialize(node.select("node", "size", F.explode("prefix").alias("cell"))
-                       .withColumn("n", F.count("*").over(Window.partitionBy("cell"))).filter("n > 1"))
+    release(signed)
     parity = [f"s{i}" for i in range(SKETCH)]
     sketch = node.select("node", "size", F.struct(*parity).alias("s"))
+    wide = node.filter("wide IS NOT NULL").select("node", "wide")
 
-    def possible(a, b):
+    def most(a, b):
         """Sets of the wanted similarity differ in at most (1 - s) / (1 + s) of their summed sizes."""
+        return (F.col(f"size_{a}") + F.col(f"size_{b}")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+    def possible(a, b):
         apart = sum(F.bit_count(F.col(f"s_{a}.{x}").bitwiseXOR(F.col(f"s_{b}.{x}"))) for x in parity)
-        most = (F.col(f"size_{a}") + F.col(f"size_{b}")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-        return (F.abs(F.col(f"size_{a}") - F.col(f"size_{b}")) <= most) & (apart <= most)
+        return (F.abs(F.col(f"size_{a}") - F.col(f"size_{b}")) <= most(a, b)) & (apart <= most(a, b))
 
     def side(rows, name):
         return rows.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("s").alias(f"s_{name}"))
 
-    def with_texts(pairs):
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("row_key")).distinct()
-        return materialize(keyed.select("row_key", "text").join(involved, "row_key", "left_semi"))
-
-    def verified(some, texts):
-        return materialize(_similar(some.select("a", "b").join(texts.select(F.col("row_key").alias("b"), F.col("text").alias("text_b")), "b")
-                                    .join(texts.select(F.col("row_key").alias("a"), F.col("text").alias("text_a")), "a"), words, similarity))
+    def sketched(pairs):
+        """Of different pairs (a, b, others), what both sketches leave."""
+        near = pairs.join(side(sketch, "a"), "a").join(side(sketch, "b"), "b").filter(possible("a", "b"))
+        return widely(near.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("total")))
+
+    def widely(near):
+        for x in ("a", "b"):
+            near = near.join(wide.select(F.col("node").alias(x), F.col("wide").alias(f"wide_{x}")), x, "left")
+        return _may_be_similar(near, similarity)
+
+    def verified(some):
+        """Pairs whose texts decide for them; the texts travel once for each side of a pair."""
+        some = materialize(some.select("a", "b"))
+        involved = some.select(F.explode(F.array("a", "b")).alias("row_key")).distinct()
+        texts = materialize(keyed.select("row_key", "text").join(involved, "row_key", "left_semi"))
+        found = materialize(_similar(some.join(texts.select(F.col("row_key").alias("b"), F.col("text").alias("text_b")), "b")
+                                     .join(texts.select(F.col("row_key").alias("a"), F.col("text").alias("text_a")), "a"), words, similarity))
+        release(some, texts)
+        return found
 
     def rooted(rows, roots, *names):
         for x in names:
@@ -309,28 +351,57 @@ def near_duplicates(docs, words=5, similarity=0.8):
                     .withColumn(f"root_{x}", F.coalesce(f"root_{x}", x)))
         return rows
 
+    def joined(links):
+        """Components of the links so far; the tables of the rounds go."""
+        with scratch() as made:
+            roots = components(links)
+            kept = materialize(roots)
+            made[:] = [t for t in made if t is not kept]
+        return kept
+
+    # within RADIUS bits of each other
+    own = materialize(node.groupBy("fp").agg(F.min("node").alias("b")))
+    with scratch() as made:
+        close = close_links(own.select("fp"))
+        for x, y in (("a", "x"), ("b", "y")):
+            close = close.join(own.select(F.col("fp").alias(x), F.col("b").alias(y)), x).drop(x)
+        equal = node.select(F.col("node").alias("a"), "fp").join(own, "fp").filter("a <> b").select("a", "b")
+        links = materialize(sketched(equal.unionByName(close.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())))
+        made[:] = [t for t in made if t is not links]
+    links = verified(links)
+    roots = joined(links)
+
+    # members of one cell
+    live = materialize(node.select("node", "size", F.posexplode("prefix").alias("j", "cell"))
+                       .withColumn("n", F.count("*").over(Window.partitionBy("cell"))).filter("n > 1"))
     shared = live.groupBy("node").agg(F.sum("n").alias("score"))
     hub = live.join(shared, "node").groupBy("cell").agg(F.max(F.struct("score", "node")).alias("hub"))
     met = live.join(hub, "cell").filter("node <> hub.node").groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.max("hub.score").alias("score"))
-    pairs = materialize(met.join(side(sketch, "a"), "a").join(side(sketch, "b"), "b").filter(possible("a", "b")).select("a", "b", "score"))
-    texts = with_texts(pairs)
+    met = materialize(rooted(met, roots, "a", "b").filter("root_a <> root_b").select("a", "b", "score"))
+    pairs = materialize(sketched(met).join(met, ["a", "b"]))
     best = pairs.groupBy("a").agg(F.max(F.struct("score", "b")).alias("m")).select("a", "m.b")
-    links = verified(best, texts)
-    again = rooted(pairs.join(best, ["a", "b"], "left_anti"), components(links), "a", "b").filter("root_a <> root_b")
-    links = materialize(links.unionByName(verified(again, texts)))
+    links = materialize(links.unionByName(verified(best)))
+    again = rooted(pairs.join(best, ["a", "b"], "left_anti"), joined(links), "a", "b").filter("root_a <> root_b")
+    links = materialize(links.unionByName(verified(again)))
+    roots = joined(links)
 
     # what is left: pairs of different components in a cell, one side outside the cell's largest component
-    member = rooted(live.select("cell", "node"), components(links), "node").withColumnRenamed("root_node", "root")
+    member = rooted(live.select("cell", "node", "j"), roots, "node").withColumnRenamed("root_node", "root")
     sizes = member.groupBy("cell", "root").agg(F.count("*").alias("n"))
     mixed = (sizes.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("cell", F.col("m.root").alias("main")))
-    member = materialize(member.join(mixed, "cell").join(sketch, "node"))
-    left = member.filter("root <> main").select("cell", F.col("root").alias("root_a"), F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("s").alias("s_a"))
-    right = member.select("cell", F.col("root").alias("root_b"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("s").alias("s_b"))
-    rest = (left.join(right, "cell").filter(F.col("root_a") != F.col("root_b")).filter(possible("a", "b"))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    member = materialize(member.join(mixed, "cell").withColumn("before", F.lag("cell").over(Window.partitionBy("node").orderBy("j"))).join(sketch, "node"))
+    part = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("root", "size", "s", "j", "before")]
+    left = member.filter("root <> main").select("cell", F.col("node").alias("a"), *part("a"))
+    right = member.select("cell", F.col("node").alias("b"), *part("b"))
+    total = F.col("size_a") + F.col("size_b")
+    behind = F.least(F.col("size_a") - F.col("j_a"), F.col("size_b") - F.col("j_b")) >= total * (similarity / (1 + similarity)) - 1e-6
+    # an equal mixed cell before this one shows that this is not the first they share
+    rest = (left.join(right, "cell").filter((F.col("root_a") != F.col("root_b")) & behind & ~F.coalesce(F.col("before_a") == F.col("before_b"), F.lit(False)))
+            .filter(possible("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), total.alias("total")).distinct())
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(rest.join(known, ["a", "b"], "left_anti"))
-    roots = components(links.unionByName(verified(rest, with_texts(rest))))
+    rest = materialize(widely(rest).join(known, ["a", "b"], "left_anti"))
+    release(live, member, met)
+    roots = joined(links.unionByName(verified(rest)))
     labelled = rooted(node.select("node", "first"), roots, "node")
     return labelled.groupBy("root_node").agg(F.min("first").alias("best")).select("best.row_key")
 
@@ -339,5 +410,8 @@ def drop_near_duplicates(docs, words=5, similarity=0.8):
     """``docs`` with one row of each near-duplicate group."""
     key, = free_name(docs, "row_key")
     keyed = docs.withColumn(key, F.monotonically_increasing_id())
-    kept = materialize(near_duplicates(docs, words, similarity)).withColumnRenamed("row_key", key)
+    with scratch() as made:
+        kept = materialize(near_duplicates(docs, words, similarity))
+        made[:] = [t for t in made if t is not kept]
+    kept = kept.withColumnRenamed("row_key", key)
     return keyed.join(kept, key, "left_semi").drop(key)
