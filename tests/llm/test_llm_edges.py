@@ -1,6 +1,8 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelyard.llm import decontaminate, lines, media, mixing, quality, secrets, sharding, simhash, tokens, toxicity
 
@@ -94,6 +96,22 @@ def test_media_edges(spark, store):
     assert {r["image_id"] for r in media.render(vectors).collect()} == {4}
 
 
+def test_copies_do_not_depend_on_ids(spark):
+    """Copies far from their originals in any order of ids, and thirty edited copies of one picture."""
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").filter("vec_id < 200").select("vec_id", "embedding")
+    same = vectors.filter("vec_id = 3").select("embedding").crossJoin(spark.range(1001, 1121, 4).withColumnRenamed("id", "vec_id")).select("vec_id", "embedding")
+    drawn = media.render(vectors.union(same)).withColumn("true", F.when(F.col("vec_id") > 1000, 3).otherwise(F.col("vec_id")))
+    shuffled = drawn.withColumn("image_id", F.xxhash64("image_id"))
+    true = {r["image_id"]: (r["true"], r["edited"]) for r in shuffled.select("image_id", "true", "edited").collect()}
+    parts, out = {}, media.copies(shuffled.repartition(3)).collect()
+    for r in out:
+        parts.setdefault(r["component_id"], []).append(r["image_id"])
+    assert len(out) == len(true) and all(len({true[i][0] for i in ids}) == 1 and min(ids) == c for c, ids in parts.items())
+    root = {true[i][0]: c for c, ids in parts.items() for i in ids if not true[i][1]}
+    assert np.mean([r["component_id"] == root[true[r["image_id"]][0]] for r in out if true[r["image_id"]][1]]) >= 0.95
+    assert all(r["n_links"] >= 1 for r in out if len(parts[r["component_id"]]) > 1 and true[r["image_id"]][1])
+
+
 def _brute_kept(rows, words=5, similarity=0.8):
     """doc_ids kept by comparing all pairs."""
     hashes = simhash.shingle_hasher(words)
