@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelyard.functions.columns import exact_sum
 from panelyard.operators import cleaning as C, dispatch as DP, fundamentals as FU, levels as LV, pit as PT
+from panelyard.plans import tables
 from panelyard.sources import panel as P
 
 D = dt.date
@@ -161,6 +162,17 @@ def test_verdict_at_its_bound(spark):
     assert {r.verdict for r in FU.valuation_score(df).collect()} == {"fairly_rich"}
 
 
+@pytest.mark.parametrize("big", [5, 2 ** 62])
+@pytest.mark.parametrize("part", [0.25, 0.001])
+def test_lines_of_equal_keys_are_ordered_by_price_and_quantity(spark, tmp_path, big, part):
+    at = dt.datetime(2024, 1, 2)
+    rows = [(1, big, 1, 10.0 + part, 2.0, at), (1, big, 1, 30.0, 2.0, at), (1, big, 1, 30.0, 4.0, at), (1, -big, 1, 30.0, 3.0, at), (1, big, 1, 20.0, 1.0, at)]
+    li = spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_extendedprice double, l_quantity double, l_shipdate timestamp")
+    li.repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    bar = tables.weekly_bars(spark, str(tmp_path)).first()
+    assert (bar.open, bar.close) == (10.0, 7.5)
+
+
 def test_bars_that_share_code_and_date_are_taken_in_one_order(spark):
     rows = [("000001.SH", D(2024, 1, 2), 10.0, c, False) for c in (11.0, 9.0, 10.0)]
     for some in (rows, rows[::-1], rows[1:] + rows[:1]):
