@@ -162,6 +162,11 @@ def test_verdict_at_its_bound(spark):
     assert {r.verdict for r in FU.valuation_score(df).collect()} == {"fairly_rich"}
 
 
+def test_two_values_have_the_sum_of_doubles(spark):
+    df = spark.createDataFrame([("a", 0.1), ("a", 0.2), ("b", 0.7), ("c", 0.1), ("c", 0.2), ("c", None)], "code string, x double")
+    assert {r.code: r.s for r in df.groupBy("code").agg(exact_sum("x").alias("s")).collect()} == {"a": 0.1 + 0.2, "b": 0.7, "c": 0.1 + 0.2}
+
+
 @pytest.mark.parametrize("big", [5, 2 ** 62])
 @pytest.mark.parametrize("part", [0.25, 0.001])
 def test_lines_of_equal_keys_are_ordered_by_price_and_quantity(spark, tmp_path, big, part):
