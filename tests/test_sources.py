@@ -162,6 +162,14 @@ def test_verdict_at_its_bound(spark):
     assert {r.verdict for r in FU.valuation_score(df).collect()} == {"fairly_rich"}
 
 
+def test_verdict_below_its_bound_in_every_order(spark):
+    """The doubles of these percentiles come to less than 25 on average in any order of addition, as SQL adds them."""
+    pct = [30.95238095238095, 7.142857142857142, 30.95238095238095, 30.95238095238095]
+    rows = [(f"c{i}", "dv_ratio", p) for i, order in enumerate(permutations(pct)) for p in order]
+    df = spark.createDataFrame(rows, "code string, metric string, percentile double")
+    assert {r.verdict for r in FU.valuation_score(df).collect()} == {"rich"}
+
+
 def test_two_values_have_the_sum_of_doubles(spark):
     df = spark.createDataFrame([("a", 0.1), ("a", 0.2), ("b", 0.7), ("c", 0.1), ("c", 0.2), ("c", None)], "code string, x double")
     assert {r.code: r.s for r in df.groupBy("code").agg(exact_sum("x").alias("s")).collect()} == {"a": 0.1 + 0.2, "b": 0.7, "c": 0.1 + 0.2}
