@@ -216,3 +216,17 @@ def test_calibration_sees_all_segments(spark, monkeypatch):
     toxicity.fit(docs, labels)
     totals = sorted(seen[0][:, 1])
     assert totals[-1] > 2 * totals[-2] > 0
+
+
+def test_the_order_of_the_mix_reaches_the_shards(spark, tmp_path):
+    import corpus_pipeline
+    smoke = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{smoke}/documents.parquet").repartition(7).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    corpus_pipeline.mixing_stage(spark, docs, smoke).write.parquet(str(tmp_path / "m"))
+    out = corpus_pipeline.sharding_stage(spark, spark.read.parquet(str(tmp_path / "m")), smoke).orderBy("mix_rank").collect()
+    want = mixing.mix(docs).orderBy("slot", "offset", "doc_id").collect()
+    assert [r["mix_rank"] for r in out] == list(range(docs.count()))
+    assert [r["doc_id"] for r in out] == [r["doc_id"] for r in want]
+    loose = corpus_pipeline.sharding_stage(spark, docs.limit(9), smoke)
+    assert sorted(r["mix_rank"] for r in loose.collect()) == list(range(9))
