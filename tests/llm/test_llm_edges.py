@@ -112,6 +112,41 @@ def test_copies_do_not_depend_on_ids(spark):
     assert all(r["n_links"] >= 1 for r in out if len(parts[r["component_id"]]) > 1 and true[r["image_id"]][1])
 
 
+def _sparse(seed, size=204):
+    """A picture whose corners lie farther apart than those of a key."""
+    rng = np.random.default_rng(seed)
+    y, x = np.mgrid[:size, :size]
+    waves = zip(rng.uniform(0, 6.3, 4), rng.uniform(90, 170, 4), rng.uniform(0, 6.3, 4))
+    image = 110 + sum(22 * np.sin(2 * np.pi * (x * np.cos(t) + y * np.sin(t)) / p + q) for t, p, q in waves)
+    for i in range(5):
+        for j in range(5):
+            a, b = 20 + 40 * i + rng.integers(-3, 4), 20 + 40 * j + rng.integers(-3, 4)
+            image[a - 1:a + 2, b - 1:b + 2] += 80
+    return np.clip(np.rint(image), 0, 255)
+
+
+def test_copies_with_lone_corners_are_found(spark):
+    """The components are those of all pairs compared."""
+    drawn, pairs = {}, media._pairs()
+    for k in range(30):
+        rng = np.random.default_rng(1000 + k)
+        copy = np.rot90(_sparse(k)[rng.integers(0, 40):, rng.integers(0, 40):], k) * rng.uniform(0.8, 1.05) + rng.uniform(-10, 10)
+        drawn[2 * k], drawn[2 * k + 1] = _sparse(k), np.clip(np.rint(copy + rng.normal(0, 2, copy.shape)), 0, 255)
+    known = {i: media.describe(image, pairs)[:2] for i, image in drawn.items()}
+    half = {i: np.rint(media.halved(image)) for i, image in drawn.items()}
+    want = {i: i for i in drawn}
+    for a in sorted(drawn):
+        for b in range(a):
+            t = media.agreement(*known[a], *known[b])
+            if t is not None and media.correlation(half[a], half[b], *t) >= media.OVERLAP:
+                low, high = sorted((want[a], want[b]))
+                want = {i: low if c == high else c for i, c in want.items()}
+    rows = [(i, a.shape[1], a.shape[0], bytearray(a.astype(np.uint8).tobytes())) for i, a in drawn.items()]
+    images = spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")
+    assert {r["image_id"]: r["component_id"] for r in media.copies(images).collect()} == want
+    assert sum(want[2 * k] == want[2 * k + 1] for k in range(30)) > 15
+
+
 def _brute_kept(rows, words=5, similarity=0.8):
     """doc_ids kept by comparing all pairs."""
     hashes = simhash.shingle_hasher(words)
