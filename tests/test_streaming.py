@@ -198,6 +198,20 @@ def test_account_state_calls_its_state_once_a_slot():
     assert handle.maps.calls <= 3 * (1 + 900 // 180 + 1)
 
 
+def test_account_state_shares_entries_when_nothing_is_closed():
+    day = dt.date(2020, 1, 1)
+    rows = pd.DataFrame([(day + dt.timedelta(days=i), i, f"e{i}", "sell" if i % 3 == 2 else "buy", 100 * (1 + i % 5), 9.0 + i % 7) for i in range(900)],
+                        columns=["trade_date", "seq", "execution_id", "side", "shares", "price"])
+    ends = []
+    for s, calls in ((S.AccountState(span=180), 3 * 3), (S.AccountState(keep=10 ** 6, span=180), 3 * 7)):
+        s.init(handle := Handle())
+        for part in (rows[1::3], rows[::3], rows[2::3]):
+            got = next(s.handleInputRows(("a",), iter([part]), None)).iloc[0]
+        ends.append((got.shares, got.available, got.avg_cost, got.last_date))
+        assert handle.maps.calls <= calls
+    assert ends[0] == ends[1]
+
+
 def test_streams_are_written_by_all_tasks(spark):
     """Every task writes to each batch; no row is lost or doubled."""
     from panelyard.plans import streaming_queries as Q
