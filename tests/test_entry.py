@@ -35,3 +35,19 @@ def test_query_equals_sql(spark, name):
     assert sorted(names) == cols
     want = [tuple(r[names.index(c)] for c in cols) for r in rel.fetchall()]
     assert sorted(map(repr, (tuple(r) for r in df.select(*cols).collect()))) == sorted(map(repr, want))
+
+
+def test_facts_store_their_bars_once_and_keep_one_table(spark, monkeypatch):
+    """Bars are made once, and of the stored tables only the result stays."""
+    from pathlib import Path
+
+    from panelyard.plans import chart_queries, score_queries
+    from panelyard.session import shared_folder
+    calls, bars = [], score_queries.weekly_bars
+    for module in (score_queries, chart_queries):
+        monkeypatch.setattr(module, "weekly_bars", lambda *a: calls.append(1) or bars(*a))
+    folder = Path(shared_folder(spark).removeprefix("file://").removeprefix("file:"))
+    before = {p.name for p in folder.glob("panelyard-*")}
+    facts = score_queries.facts(spark, entry.SMOKE_DIR)
+    assert facts.count() == 10 and len(calls) == 1
+    assert len({p.name for p in folder.glob("panelyard-*")} - before) == 1
